@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, tokens, winnow
+from . import chat, mixing, packing, quality, substrings, suffixes, tokens, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,13 @@ def _(spark, d):
 @query("op7_fingerprints")
 def _(spark, d):
     return winnow.compare_with_edits(documents(spark, d))
+
+
+@query("op8_suffix_dedup")
+def _(spark, d):
+    return suffixes.digest(documents(spark, d))
+
+
+@query("op10_substring_dedup")
+def _(spark, d):
+    return substrings.digest(documents(spark, d))
