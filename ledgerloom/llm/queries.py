@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, substrings, suffixes, tokens, winnow
+from . import chat, mixing, neardup, packing, quality, substrings, suffixes, tokens, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ def _(spark, d):
 @query("op10_substring_dedup")
 def _(spark, d):
     return substrings.digest(documents(spark, d))
+
+
+@query("op3_near_duplicates")
+def _(spark, d):
+    return neardup.near_duplicates(documents(spark, d))
