@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, quality, substrings, suffixes, tokens, winnow
+from . import chat, licenses, mixing, neardup, packing, quality, substrings, suffixes, tokens, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,10 @@ def _(spark, d):
 @query("op3_near_duplicates")
 def _(spark, d):
     return neardup.near_duplicates(documents(spark, d))
+
+
+@query("op9_license_scan")
+def _(spark, d):
+    docs = documents(spark, d)
+    out = licenses.scan(docs.select(licenses.document_path(docs).alias("path"), "text"))
+    return out.withColumn("doc_id", F.expr("try_cast(split_part(path, '/', -1) AS long)"))
