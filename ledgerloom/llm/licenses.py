@@ -86,11 +86,13 @@ def score(found: DataFrame, n: int, df: dict[str, int]) -> DataFrame:
     table = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
     counted = found.withColumn("_t", _terms(F.col("passage"))).withColumn("_v", F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("_t", lambda u: u == t)) * F.coalesce(F.try_element_at(table, t), F.lit(1.0))).alias("w"))))
     counted = counted.withColumn("_norm", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
-    scored = []
-    for name, vector in notice_vectors(idf):
+
+    def cosine(vector: dict[str, float]) -> Column:
         m = F.create_map(*[F.lit(x) for t, w in vector.items() for x in (t, w)])
-        dot = F.aggregate("_v", F.lit(0.0), lambda a, x, m=m: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-        scored.append(F.struct((-F.round(dot / F.greatest("_norm", F.lit(1e-12)), 9)).alias("s"), F.lit(name).alias("license")))
+        dot = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
+        return F.round(dot / F.greatest("_norm", F.lit(1e-12)), 9)
+
+    scored = [F.struct((-cosine(vector)).alias("s"), F.lit(name).alias("license")) for name, vector in notice_vectors(idf)]
     return counted.withColumn("_best", F.array_min(F.array(*scored))).select("path", "passage", F.col("_best.license").alias("license"), (-F.col("_best.s")).alias("score"))
 
 
