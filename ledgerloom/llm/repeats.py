@@ -21,6 +21,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Symbols that are hashed at once; longer documents go in overlapping parts.
 PART = 1 << 20
 LEAST = -(1 << 63)
+OCCURRENCE = "__id:long, __rk:int, pos:long"
 
 
 @dataclass(frozen=True)
@@ -145,12 +146,21 @@ def _scan(unit: Unit) -> Callable[[Iterator], Iterator]:
                 yield emit(rows, ids, keys)
 
     def emit(rows, ids, keys):
+        """A row for each distinct stretch of some documents: its first occurrence, and the rest as a list. Copies and periodic texts shrink before they are shuffled."""
         import numpy as np
         import pyarrow as pa
 
-        owner = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
+        owner = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
         gram, c1, c2, first, last = (np.concatenate([r[k] for r in rows]) for k in range(1, 6))
-        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.astype(np.int64).astype(np.int32)), ids.take(owner), keys.take(owner), pa.array((first << 21) | (last - first))], ["gram", "c1", "c2", "__id", "__rk", "pos"])
+        id_, key, pos = ids.to_numpy()[owner], keys.to_numpy()[owner], (first << 21) | (last - first)
+        order = np.lexsort((pos, key, id_, c2, c1, gram))
+        gram, c1, c2, id_, key, pos = (x[order] for x in (gram, c1, c2, id_, key, pos))
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]
+        head, more = np.flatnonzero(new), np.flatnonzero(~new)
+        n = np.diff(np.r_[head, len(new)])
+        rest = pa.StructArray.from_arrays([pa.array(x[more]) for x in (id_, key, pos)], ["__id", "__rk", "pos"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - 1)].astype(np.int32)), rest, mask=pa.array(n == 1))
+        return pa.RecordBatch.from_arrays([pa.array(gram[head].view(np.int64)), pa.array(c1[head].view(np.int64)), pa.array(c2[head].astype(np.int64).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(id_[head]), pa.array(key[head]), pa.array(pos[head]), lists], ["gram", "c1", "c2", "n", "__id", "__rk", "pos", "rest"])
 
     return run
 
@@ -218,16 +228,20 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool) -> Dat
     stretch = Window.partitionBy("gram", "c1", "c2")
     gram = Window.partitionBy("gram")
     here = docs.select("__id", "__rk", "text")
-    found = here.mapInArrow(_scan(unit), "gram long, c1 long, c2 int, __id long, __rk int, pos long")
+    found = here.mapInArrow(_scan(unit), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>")
+    occurrence = F.struct("__id", "__rk", "pos")
+    # Its first occurrence is the least of a row.
+    found = found.withColumns({"total": F.sum("n").over(stretch), "least": F.min(occurrence).over(stretch)})
+    found = found.withColumn("several", (F.min("c1").over(gram) != F.max("c1").over(gram)) & (F.lit(ordered) | (F.min("total").over(gram) == 1)))
+    found = found.where(F.col("several") | (F.col("total") > 1))
+    members = found.select("gram", "total", "least", "several", F.explode(F.concat(F.array(occurrence), F.coalesce("rest", F.array().cast(f"array<struct<{OCCURRENCE}>>")))).alias("o")).select("gram", "total", "least", "several", "o.*")
     if ordered:
-        found = found.withColumn("least", F.min("__id").over(stretch)).withColumn("several", F.min("c1").over(gram) != F.max("c1").over(gram))
-        settled, asked, fresh = F.col("__id") > F.col("least"), (F.col("__id") == F.col("least")) & F.col("several"), F.lit(True)
+        settled, fresh = F.col("__id") > F.col("least.__id"), F.lit(True)
+        asked = F.col("several") & ~settled
     else:
-        found = found.withColumns({"n": F.count(F.lit(1)).over(stretch), "least": F.min(F.struct("__id", "__rk", "pos")).over(stretch)})
-        found = found.withColumn("several", (F.min("c1").over(gram) != F.max("c1").over(gram)) & (F.min("n").over(gram) == 1))
-        settled, fresh = F.col("n") > 1, F.col("n") == 1
-        asked = F.col("several") & (fresh | (F.struct("__id", "__rk", "pos") == F.col("least")))
-    marks = cut(found.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh")).where("settled OR asked"))
+        settled, fresh = F.col("total") > 1, F.col("total") == 1
+        asked = F.col("several") & (occurrence == F.col("least"))
+    marks = cut(members.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh")).where("settled OR asked"))
     wanted = marks.where("asked").groupBy("__id", "__rk").agg(F.collect_list(F.struct("gram", "pos", "fresh")).alias("asked"))
     contexts = here.join(wanted, ["__id", "__rk"]).mapInArrow(_contexts(unit), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
     compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit, index), "__id long, __rk int, start long, end long")
