@@ -71,8 +71,8 @@ def index(h: Hasher, rows: list[dict], unit: Unit = UNIT) -> list[tuple[int, int
     return out
 
 
-def dedup_bytes(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
-    """docs plus kept_bytes (binary), n_bytes, n_removed, n_spans.
+def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False) -> DataFrame:
+    """docs plus kept_bytes, n_bytes, n_removed, n_spans. kept_bytes is binary, or text without the odd bytes of cut characters.
 
     Every byte under a window of `unit.length` bytes that also starts elsewhere in the table is removed, judged on the input.
     Null texts are empty, texts under that length are untouched; copies of a row remove each other's text; columns of those
@@ -100,12 +100,12 @@ def dedup_bytes(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
                 sizes.append(len(raw))
                 gone.append(len(raw) - len(out))
                 runs.append(len(cuts))
-            new = [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)]]
+            new = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)]]
             names = [n for n in batch.schema.names if n != "__spans"]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *new], [*names, "kept_bytes", "n_bytes", "n_removed", "n_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__spans")
-    return joined.mapInArrow(run, f"{schema}, kept_bytes binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, f"{schema}, kept_bytes {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -114,9 +114,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from text and n_chars set anew. A cut inside a character drops what is left of it."""
-    out = dedup_bytes(docs)
+    out = dedup_bytes(docs, as_text=True)
     touched = F.col("n_removed") > 0
-    text = F.when(touched, F.decode("kept_bytes", "UTF-8")).otherwise(F.col("text"))
+    text = F.when(touched, F.col("kept_bytes")).otherwise(F.col("text"))
     cols = {"text": text}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(touched, F.length(text).cast("long")).otherwise(F.col("n_chars"))

@@ -106,6 +106,9 @@ def test_cut_texts_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "é" + text + "x", 9), (2, "zé" + text, 9), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in suffixes.without_repeats(df).collect()}
     assert out[3].text == "clean" and all(len(out[i].text) == out[i].n_chars < 10 for i in (1, 2))
+    shared = "m" * 500
+    halves = spark.createDataFrame([(1, "\u00e9" + shared, 501), (2, "\u0129" + shared + "z", 502)], "doc_id long, text string, n_chars long")  # their last bytes are equal
+    assert {r.doc_id: (r.text, r.n_chars) for r in suffixes.without_repeats(halves).collect()} == {1: ("", 0), 2: ("z", 1)}
     assert suffixes.dedup_bytes(df.limit(0)).count() == 0 and substrings.dedup_words(df.limit(0)).count() == 0
 
 
