@@ -35,6 +35,17 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def per_process(key: tuple, make):
+    """make() once in a Python worker, kept for the tasks that it runs later."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_loom_process", types.ModuleType("_loom_process")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def mix(h):
     """Finaliser of 64-bit hashes (uint64 arrays)."""
     import numpy as np

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .base import mix, randoms
+from .base import mix, per_process, randoms
 from .tokens import byte_alphabet
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,7 +36,7 @@ class ByteBPE:
 
     Texts with code points from TABLE on, or with the string of a special token, go to the tokenizer whole."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 600_000):
         import unicodedata
 
         import numpy as np
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, piece: int = 25
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, task = ByteBPE(vocabulary), TaskContext.get()
+        bpe, task = per_process(("bpe", vocabulary), lambda: ByteBPE(vocabulary)), TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         done: list[tuple] = []
         waiting: list[tuple] = []

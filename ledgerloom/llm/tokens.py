@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
+from .base import per_process
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
@@ -103,7 +105,7 @@ def token_counts(docs: DataFrame, vocabulary: str, memo: int = 400_000) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen = _Memo(Automaton(*byte_level_pieces(vocabulary)), memo)
+        seen = per_process(("pieces", vocabulary, memo), lambda: _Memo(Automaton(*byte_level_pieces(vocabulary)), memo))
         for batch in batches:
             rows = []
             for text in batch.column("text"):
