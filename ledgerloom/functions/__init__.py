@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def r6(c: Column) -> Column:
-    """Six decimals, never a negative zero; nine first, so that ties don't hang on the order of a sum."""
-    return F.round(F.round(c, 9), 6) + F.lit(0.0)
+    """Six decimals, never a negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def r96(c: Column) -> Column:
+    """Nine decimals, then six: for means of cents, whose ties must not hang on the order of a sum."""
+    return r6(F.round(c, 9))
 
 
 def cents(c: Column) -> Column:

@@ -108,7 +108,7 @@ def _is_count(base: str) -> bool:
 
 
 def _window_sql(base: str, windows=WINDOWS) -> str:
-    one = lambda w: f"CAST({_WINDOW_SQL[base](w)} AS BIGINT)" if _is_count(base) else f"round(round({_WINDOW_SQL[base](w)}, 9), 6) + 0.0"
+    one = lambda w: f"CAST({_WINDOW_SQL[base](w)} AS BIGINT)" if _is_count(base) else (f"round(round({_WINDOW_SQL[base](w)}, 9), 6) + 0.0" if base.startswith(("Avg", "Bias")) else f"round({_WINDOW_SQL[base](w)}, 6) + 0.0")
     return ", ".join(f"{one(w)} AS {base}_{w}" for w in windows)
 
 
@@ -124,11 +124,16 @@ def _entropy_sql(windows) -> str:
     return f"WITH {LEDGER_SQL}, r AS (SELECT *, row_number() OVER ({BY_SRC}) AS rn FROM ledger), " + ", ".join(parts) + f" SELECT txn_id, {cols} FROM " + f"h{windows[0]} " + " ".join(f"JOIN h{w} USING (txn_id)" for w in windows[1:])
 
 
+def _shown(c: str):
+    """Rounded as its SQL rounds it."""
+    return (fn.r96 if c.startswith(("Avg", "Bias", "avg")) else fn.r6)(F.col(c)).alias(c)
+
+
 def _features(base: str):
     def run(s, d):
         cols = [f"{base}_{w}" for w in WINDOWS]
         out = temporal.temporal_features(events_ledger(s, d), WINDOWS, (base,))
-        return out.select("txn_id", *(cols if _is_count(base) else r6(*cols)))
+        return out.select("txn_id", *(cols if _is_count(base) else [_shown(c) for c in cols]))
     return run
 
 
@@ -152,7 +157,7 @@ _EIGHT = BASE_FEATURES[:-1]
 @query("temporal_all", f"WITH {LEDGER_SQL}, x AS ({_entropy_sql(WINDOWS)}) SELECT l.*, x.* EXCLUDE (txn_id) FROM (SELECT *, {', '.join(_window_sql(b) for b in _EIGHT)} FROM ledger) l JOIN x USING (txn_id)")
 def temporal_all(s, d):
     out = temporal.temporal_features(events_ledger(s, d))
-    done = {f"{b}_{w}": fn.r6(F.col(f"{b}_{w}")) for b in BASE_FEATURES if not _is_count(b) for w in WINDOWS}
+    done = {f"{b}_{w}": _shown(f"{b}_{w}") for b in BASE_FEATURES if not _is_count(b) for w in WINDOWS}
     return out.withColumns(done)
 
 
@@ -181,7 +186,7 @@ _NF_SQL = f"{LEDGER_SQL}, n AS (SELECT *, {_NEW} AS nf FROM ledger)"
 
 def _asof(col: str):
     def run(s, d):
-        c = fn.r6(F.col(col)).alias(col) if "weighted" in col or "amt" in col else F.col(col)
+        c = _shown(col) if "weighted" in col or "amt" in col else F.col(col)
         return asof.degree_features(events_ledger(s, d)).select("txn_id", c)
     return run
 
@@ -529,7 +534,7 @@ _ALL_SQL = f"{_NF_SQL}, {_PART_SQL}, {_C12_SQL}, cl AS (SELECT l.txn_id, round({
 @query("asof_all", f"WITH {_ALL_SQL} SELECT * FROM deg_ JOIN part USING (txn_id) JOIN cl USING (txn_id)")
 def _(s, d):
     ledger = events_ledger(s, d)
-    base = asof.degree_features(ledger).select("txn_id", *[F.col(c) if "weighted" not in c and "amt" not in c else fn.r6(F.col(c)).alias(c) for c, _ in _ASOF.values()])
+    base = asof.degree_features(ledger).select("txn_id", *[F.col(c) if "weighted" not in c and "amt" not in c else _shown(c) for c, _ in _ASOF.values()])
     return base.join(asof.participation(ledger), "txn_id").join(asof.clustering_asof(ledger).select("txn_id", *r6("clustering_coeff_source")), "txn_id")
 
 
@@ -537,8 +542,8 @@ def _(s, d):
 def _(s, d):
     ledger = events_ledger(s, d)
     t = temporal.temporal_features(ledger, (3, 20), ("AvgAmountT", "NumberT", "UniqueDestinationT"))
-    t = t.withColumns({c: fn.r6(F.col(c)) for c in ("AvgAmountT_3", "AvgAmountT_20")})
-    base = asof.degree_features(ledger).select("txn_id", *[F.col(c) if "weighted" not in c and "amt" not in c else fn.r6(F.col(c)).alias(c) for c, _ in _ASOF.values()])
+    t = t.withColumns({c: _shown(c) for c in ("AvgAmountT_3", "AvgAmountT_20")})
+    base = asof.degree_features(ledger).select("txn_id", *[F.col(c) if "weighted" not in c and "amt" not in c else _shown(c) for c, _ in _ASOF.values()])
     return t.join(base, "txn_id").join(asof.participation(ledger), "txn_id")
 
 
