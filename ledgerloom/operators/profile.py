@@ -106,7 +106,7 @@ def profile_report(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     ratio = cfg.sample_fraction or 1.0
     base = recent(df if cfg.sample_fraction is None else df.sample(fraction=cfg.sample_fraction, seed=cfg.seed), "created_on", cfg.window_start)
     steps: dict[str, Callable[[], DataFrame]] = {
-        "metadata": lambda: base.sparkSession.range(1).select(F.struct(F.lit(cfg.window_start).alias("window_start"), F.lit(ratio < 1).alias("sampling_used"), F.lit(ratio).alias("sample_ratio")).alias("metadata")),
+        "metadata": lambda: base.sparkSession.range(0, 1, 1, 1).select(F.struct(F.lit(cfg.window_start).alias("window_start"), F.lit(ratio < 1).alias("sampling_used"), F.lit(ratio).alias("sample_ratio")).alias("metadata")),
         "temporal_heatmap": lambda: packed_heatmap(heatmap(base, cfg.timezone)).select(F.struct("heatmap", F.lit(0.01 if ratio < 1 else 0.0).alias("sampling_error"), F.lit(0.99 if ratio < 1 else 1.0).alias("confidence_level")).alias("temporal_heatmap")),
         "categorical_weights": lambda: category_report(base, cfg.categories, cfg.top, ratio),
         "monetary_distribution": lambda: pareto_fit(tail_stats(tail(base))).select(F.struct("pareto_alpha", "alpha_ci_lower", "alpha_ci_upper", F.col("threshold").alias("tail_threshold"), F.col("tail_count").alias("tail_count_approx"), F.struct("min", "max", "mean").alias("tail_statistics")).alias("monetary_distribution")),
