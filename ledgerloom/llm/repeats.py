@@ -4,7 +4,9 @@ Every window of `length` symbols is represented by its minimiser, the least hash
 rightmost of equals. Equal windows have equal minimisers at equal places, so grouping minimisers by hash brings all their
 occurrences together, at two rows or so per window length instead of one a symbol. Consecutive windows with one minimiser
 form a stretch. Equal stretches, by a 96-bit hash beside the gram's 64 bits, are settled without looking at the text. Only
-stretches that share a gram but differ are read, and a local index finds their common windows exactly."""
+stretches that share a gram but differ are read, and a local index finds their common windows exactly. Where more than
+`CROWD` of them share a gram, as around a passage that very many documents embed, they are first parted by `_part`, round by
+round, until no index holds more."""
 
 from __future__ import annotations
 
@@ -21,6 +23,8 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Symbols that are hashed at once; longer documents go in overlapping parts.
 PART = 1 << 20
 LEAST = -(1 << 63)
+#: Stretches of one gram that an index takes at once; beyond that they are parted, into PARTS ranges of windows a round.
+CROWD, PARTS = 4096, 4
 OCCURRENCE = "__id:long, __rk:int, pos:long"
 
 
@@ -196,6 +200,78 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
     return run
 
 
+def _part(unit: Unit, size: int) -> Callable[[Iterator], Iterator]:
+    """Every stretch as pieces of at most `size` windows, keyed by what all windows of a piece's range contain.
+
+    A window is told by where its minimiser stands in it, so equal windows fall into one range, and the core of that range is
+    a part of both: they meet under one key. A range of one window has the window itself as its core."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        h = Hasher()
+        schema = pa.schema([*[(k, pa.int64()) for k in ("k1", "k2", "s1", "s2")], ("bytes", pa.binary()), ("__id", pa.int64()), ("__rk", pa.int32()), ("first", pa.int64()), ("windows", pa.int64()), ("fresh", pa.bool_())])
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.to_pylist():
+                raw = row["bytes"]
+                symbols, spans = h.symbols(raw, unit.kind)
+                p0, p1 = h.prefix(symbols, 0), h.prefix(symbols, 1)
+                # The minimiser of the first window is that of all.
+                start = np.arange(unit.length - unit.gram + 1)
+                place = int(minimisers(h.stretch(p0, start, start + unit.gram, 0), len(start))[0])
+                within = place - np.arange(row["windows"])
+                block = within // size
+                lo = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                hi = np.r_[lo[1:], len(block)]
+                # Windows of the range start from `far` to `near`, whether or not this stretch has them all.
+                near = place - block[lo] * size
+                far = np.maximum(near - size + 1, place - len(start) + 1)
+                core = near, far + unit.length
+                end = hi - 1 + unit.length
+                mark = mix(block[lo].astype(np.uint64))
+                k1, k2 = h.stretch(p0, *core, 0) ^ mark, h.stretch(p1, *core, 1)
+                s1, s2 = h.stretch(p0, lo, end, 0) ^ mix(within[lo].astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)), h.stretch(p1, lo, end, 1)
+                hashes = [x.view(np.int64).tolist() for x in (k1, k2, s1, s2)]
+                for i, (f, e) in enumerate(zip(lo.tolist(), end.tolist(), strict=True)):
+                    x, y = (f, e) if spans is None else (int(spans[0][f]), int(spans[1][e - 1]))
+                    rows.append([*[v[i] for v in hashes], raw[x:y], row["__id"], row["__rk"], row["first"] + f, int(hi[i]) - f, row["fresh"]])
+                    held += y - x
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return run
+
+
+def _parted(crowds: DataFrame, unit: Unit, ordered: bool, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stretches of crowded grams as (settled runs, pieces for an index): logarithmically many rounds, each of some PARTS slim rows a stretch."""
+    runs, left = [], []
+    size = unit.length - unit.gram + 1
+    while size > 1 and not crowds.isEmpty():
+        size = -(-size // PARTS)
+        piece, group = Window.partitionBy("k1", "k2", "s1", "s2"), Window.partitionBy("k1", "k2")
+        occurrence = F.struct("__id", "__rk", "first")
+        found = crowds.select("bytes", "__id", "__rk", "first", "windows", "fresh").mapInArrow(_part(unit, size), "k1 long, k2 long, s1 long, s2 long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
+        found = found.withColumns({"total": F.count(F.lit(1)).over(piece), "least": F.min(occurrence).over(piece)})
+        several = ((F.min("s1").over(group) != F.max("s1").over(group)) | (F.min("s2").over(group) != F.max("s2").over(group))) & (F.lit(ordered) | F.max(F.col("fresh") & (F.col("total") == 1)).over(group))
+        found = found.withColumns({"several": several, "crowded": F.count(F.lit(1)).over(group) > crowd})
+        if ordered:
+            settled, fresh = F.col("__id") > F.col("least.__id"), F.lit(True)
+            asked = F.col("several") & ~settled
+        else:
+            settled, fresh = F.col("fresh") & (F.col("total") > 1), F.col("fresh") & (F.col("total") == 1)
+            asked = F.col("several") & (occurrence == F.col("least"))
+        found = cut(found.select(F.col("k1").alias("gram"), "bytes", "__id", "__rk", "first", "windows", fresh.alias("fresh"), settled.alias("settled"), asked.alias("asked"), "crowded").where("settled OR asked"))
+        runs.append(found.where("settled").select("__id", "__rk", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + unit.length).alias("end")))
+        asked_ = found.where("asked").drop("settled", "asked")
+        left.append(asked_.where("NOT crowded"))
+        crowds = asked_.where("crowded")
+    return runs, left
+
+
 def _resolve(unit: Unit, index: Callable) -> Callable[[Iterator], Iterator]:
     """Stretches sorted by gram, in shards of whole grams, through `index(hasher, rows) -> [(row, a, b)]`, runs of windows to remove."""
     def run(batches):
@@ -223,7 +299,7 @@ def _resolve(unit: Unit, index: Callable) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool) -> DataFrame:
+def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd: int = CROWD) -> DataFrame:
     """(__id, __rk, __spans): stretches of symbols under windows that also start elsewhere (or, if `ordered`, in a document of a smaller id). docs has doc_id, text, __id, __rk."""
     stretch = Window.partitionBy("gram", "c1", "c2")
     gram = Window.partitionBy("gram")
@@ -233,20 +309,31 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool) -> Dat
     # Its first occurrence is the least of a row.
     found = found.withColumns({"total": F.sum("n").over(stretch), "least": F.min(occurrence).over(stretch)})
     found = found.withColumn("several", (F.min("c1").over(gram) != F.max("c1").over(gram)) & (F.lit(ordered) | (F.min("total").over(gram) == 1)))
+    found = found.withColumn("crowded", F.count(F.lit(1)).over(gram) > crowd)
     found = found.where(F.col("several") | (F.col("total") > 1))
-    members = found.select("gram", "total", "least", "several", F.explode(F.concat(F.array(occurrence), F.coalesce("rest", F.array().cast(f"array<struct<{OCCURRENCE}>>")))).alias("o")).select("gram", "total", "least", "several", "o.*")
+    members = found.select("gram", "total", "least", "several", "crowded", F.explode(F.concat(F.array(occurrence), F.coalesce("rest", F.array().cast(f"array<struct<{OCCURRENCE}>>")))).alias("o")).select("gram", "total", "least", "several", "crowded", "o.*")
     if ordered:
         settled, fresh = F.col("__id") > F.col("least.__id"), F.lit(True)
         asked = F.col("several") & ~settled
     else:
         settled, fresh = F.col("total") > 1, F.col("total") == 1
         asked = F.col("several") & (occurrence == F.col("least"))
-    marks = cut(members.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh")).where("settled OR asked"))
-    wanted = marks.where("asked").groupBy("__id", "__rk").agg(F.collect_list(F.struct("gram", "pos", "fresh")).alias("asked"))
-    contexts = here.join(wanted, ["__id", "__rk"]).mapInArrow(_contexts(unit), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
-    compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit, index), "__id long, __rk int, start long, end long")
+    marks = cut(members.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh"), "crowded").where("settled OR asked"))
+
+    def contexts(marked: DataFrame) -> DataFrame:
+        wanted = marked.groupBy("__id", "__rk").agg(F.collect_set(F.struct("gram", "pos", "fresh")).alias("asked"))
+        return here.join(wanted, ["__id", "__rk"]).mapInArrow(_contexts(unit), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
+
+    compare, runs = contexts(marks.where("asked AND NOT crowded")), []
+    if not (crowds := marks.where("asked AND crowded")).isEmpty():
+        runs, left = _parted(cut(contexts(crowds)), unit, ordered, crowd)
+        for more in left:
+            compare = compare.unionByName(more.drop("crowded"))
+    compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit, index), "__id long, __rk int, start long, end long")
     first = F.shiftright("pos", 21)
     plain = marks.where("settled").select("__id", "__rk", first.alias("start"), (first + F.col("pos").bitwiseAND((1 << 21) - 1) + unit.length).alias("end"))
+    for more in runs:
+        plain = plain.unionByName(more)
     return plain.unionByName(compared).groupBy("__id", "__rk").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Hasher, Unit, keyed, merged, repeated
+from .repeats import CROWD, Hasher, Unit, keyed, merged, repeated
 
 LENGTH = 50
 UNIT = Unit("words", LENGTH, 16)
@@ -128,14 +128,14 @@ def index(h: Hasher, rows: list[dict], unit: Unit = UNIT, stride: int = STRIDE)
     return out
 
 
-def dedup_words(docs: DataFrame, unit: Unit = UNIT, stride: int = STRIDE) -> DataFrame:
+def dedup_words(docs: DataFrame, unit: Unit = UNIT, stride: int = STRIDE, crowd: int = CROWD) -> DataFrame:
     """docs plus kept_text, n_words, n_removed.
 
     Every word under a window of `unit.length` words whose sequence also starts in a document of a smaller id is removed,
     judged on the input. Null texts have no words; a null id counts as the least; rows of equal id never cut each other;
     columns of those names in docs are replaced."""
     docs = keyed(docs.drop("kept_text", "n_words", "n_removed"))
-    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit, stride), ordered=True)
+    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit, stride), ordered=True, crowd=crowd)
     joined = docs.join(spans, ["__id", "__rk"], "left").drop("__id", "__rk")
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Hasher, Unit, keyed, merged, repeated
+from .repeats import CROWD, Hasher, Unit, keyed, merged, repeated
 
 LENGTH = 400
 UNIT = Unit("bytes", LENGTH, 100)
@@ -71,14 +71,14 @@ def index(h: Hasher, rows: list[dict], unit: Unit = UNIT) -> list[tuple[int, int
     return out
 
 
-def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """docs plus kept_bytes, n_bytes, n_removed, n_spans. kept_bytes is binary, or text without the odd bytes of cut characters.
 
     Every byte under a window of `unit.length` bytes that also starts elsewhere in the table is removed, judged on the input.
     Null texts are empty, texts under that length are untouched; copies of a row remove each other's text; columns of those
     names in docs are replaced."""
     docs = keyed(docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans"))
-    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit), ordered=False)
+    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit), ordered=False, crowd=crowd)
     joined = docs.join(spans, ["__id", "__rk"], "left").drop("__id", "__rk")
 
     def run(batches):

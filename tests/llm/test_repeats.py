@@ -72,22 +72,22 @@ def corpus(seed, sep=""):
     return [*rows, rows[9], (None, texts[14])]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bytes(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(1, 4096), (2, 1), (3, 3)])
+def test_bytes(spark, seed, crowd):
     rows = corpus(seed)
     unit = Unit("bytes", 40, 10)
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA).repartition(3)
-    out = suffixes.dedup_bytes(df, unit).selectExpr("doc_id", "text", "n_bytes", "n_removed", "n_spans", "sha2(kept_bytes, 256) AS k").collect()
+    out = suffixes.dedup_bytes(df, unit, crowd=crowd).selectExpr("doc_id", "text", "n_bytes", "n_removed", "n_spans", "sha2(kept_bytes, 256) AS k").collect()
     want = sorted((str(i), t or "", *b) for (i, t), b in zip(rows, brute_bytes([t for _, t in rows], 40), strict=True))
     assert sorted((str(r.doc_id), r.text or "", r.n_bytes, r.n_removed, r.n_spans, r.k) for r in out) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_words(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(1, 4096), (2, 1), (3, 3)])
+def test_words(spark, seed, crowd):
     rows = corpus(seed)
     unit = Unit("words", 12, 4)
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA).repartition(3)
-    out = substrings.dedup_words(df, unit, 3).selectExpr("doc_id", "text", "n_words", "n_removed", "sha2(kept_text, 256) AS k").collect()
+    out = substrings.dedup_words(df, unit, 3, crowd=crowd).selectExpr("doc_id", "text", "n_words", "n_removed", "sha2(kept_text, 256) AS k").collect()
     want = sorted((str(i), t or "", *b) for (i, t), b in zip(rows, brute_words(rows, 12), strict=True))
     assert sorted((str(r.doc_id), r.text or "", r.n_words, r.n_removed, r.k) for r in out) == want
 
