@@ -46,6 +46,30 @@ def per_process(key: tuple, make):
     return kept[key]
 
 
+def sliced(batches, rows: int = 512):
+    """Parts of record batches, so that what a task makes of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def trimmed(run):
+    """run, and then freed memory back to the system: worker processes outlive their tasks, and several share an executor."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def mix(h):
     """Finaliser of 64-bit hashes (uint64 arrays)."""
     import numpy as np

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, trimmed
 from .sketches import Shingler, band_keys, joint_estimate, sketches
 
 SLACK = 0.09
@@ -221,23 +221,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, per_cent: int = 85) -> DataF
 def _components(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     """(__id, n, component) of every row."""
     here = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"), "text")
-    rows = cut(here.mapInArrow(_sketch(size), "__id long, n long, f1 long, f2 long, registers binary"))
+    rows = cut(here.mapInArrow(trimmed(_sketch(size)), "__id long, n long, f1 long, f2 long, registers binary"))
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("__id").alias("id"), F.min("registers").alias("registers"))
     reps = classes.select(F.col("f1").alias("rep"), "n", "registers")
-    bands = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
+    bands = reps.select("rep", "registers").mapInArrow(trimmed(_bands), "band long, rep long")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("s"), F.min("rep").alias("centre"))
     members = cut(bands.join(sizes.where("s > 1"), "band"))
     involved = cut(members.select("rep").distinct())
     sketched = cut(reps.join(involved, "rep").dropDuplicates(["rep"]))
     wanted = classes.select(F.col("f1").alias("rep"), F.col("id").alias("__id")).join(involved, "rep")
     texts = here.where("text is not null").join(wanted, "__id")
-    sets = cut(texts.select("rep", "text").mapInArrow(_sets(size), "rep long, set binary").dropDuplicates(["rep"]))
+    sets = cut(texts.select("rep", "text").mapInArrow(trimmed(_sets(size)), "rep long, set binary").dropDuplicates(["rep"]))
 
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     a, b = (sketched.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab")
-    likely = pairs.join(b, "b").join(a, "a").mapInArrow(_estimate(per_cent), "a long, b long")
+    likely = pairs.join(b, "b").join(a, "a").mapInArrow(trimmed(_estimate(per_cent)), "a long, b long")
     sa, sb = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    links = cut(likely.join(sb, "b").join(sa, "a").mapInArrow(_verify(per_cent), "a long, b long"))
+    links = cut(likely.join(sb, "b").join(sa, "a").mapInArrow(trimmed(_verify(per_cent)), "a long, b long"))
 
     more = cut(_more_links(members, components(links), sketched, sets, per_cent))
     final = components(links.unionByName(more))
@@ -261,7 +261,7 @@ def _more_links(members: DataFrame, found: DataFrame, sketched: DataFrame, sets:
     as_query = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(mine_i.alias("i"), j.alias("j"), F.lit(True).alias("query")))).otherwise(F.slice(as_row, 1, 0))
     dealt = rest.select("band", "rep", "component", "minor", F.explode(F.concat(as_row, as_query)).alias("to")).select("band", "rep", "component", "minor", "to.*")
     full = dealt.join(sketched, "rep").join(sets, "rep")
-    return full.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "query", "minor", "rep", "component", "n", "registers", "set").mapInArrow(_rest(per_cent), "a long, b long").distinct()
+    return full.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "query", "minor", "rep", "component", "n", "registers", "set").mapInArrow(trimmed(_rest(per_cent)), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:

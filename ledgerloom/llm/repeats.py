@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, mix, randoms, span_hashes, word_spans
+from .base import cut, mix, randoms, span_hashes, trimmed, word_spans
 
 #: Fixed odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -25,6 +25,8 @@ PART = 1 << 20
 LEAST = -(1 << 63)
 #: Stretches of one gram that an index takes at once; beyond that they are parted, into PARTS ranges of windows a round.
 CROWD, PARTS = 4096, 4
+#: Bytes of stretches after which an index is closed at the next gram.
+SHARD = 500_000
 OCCURRENCE = "__id:long, __rk:int, pos:long"
 
 
@@ -254,7 +256,7 @@ def _parted(crowds: DataFrame, unit: Unit, ordered: bool, crowd: int) -> tuple[l
         size = -(-size // PARTS)
         piece, group = Window.partitionBy("k1", "k2", "s1", "s2"), Window.partitionBy("k1", "k2")
         occurrence = F.struct("__id", "__rk", "first")
-        found = crowds.select("bytes", "__id", "__rk", "first", "windows", "fresh").mapInArrow(_part(unit, size), "k1 long, k2 long, s1 long, s2 long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
+        found = crowds.select("bytes", "__id", "__rk", "first", "windows", "fresh").mapInArrow(trimmed(_part(unit, size)), "k1 long, k2 long, s1 long, s2 long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
         found = found.withColumns({"total": F.count(F.lit(1)).over(piece), "least": F.min(occurrence).over(piece)})
         several = ((F.min("s1").over(group) != F.max("s1").over(group)) | (F.min("s2").over(group) != F.max("s2").over(group))) & (F.lit(ordered) | F.max(F.col("fresh") & (F.col("total") == 1)).over(group))
         found = found.withColumns({"several": several, "crowded": F.count(F.lit(1)).over(group) > crowd})
@@ -288,7 +290,7 @@ def _resolve(unit: Unit, index: Callable) -> Callable[[Iterator], Iterator]:
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                if size > 2_000_000 and row["gram"] != shard[-1]["gram"]:
+                if size > SHARD and row["gram"] != shard[-1]["gram"]:
                     yield flush(shard)
                     shard, size = [], 0
                 shard.append(row)
@@ -304,7 +306,7 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd:
     stretch = Window.partitionBy("gram", "c1", "c2")
     gram = Window.partitionBy("gram")
     here = docs.select("__id", "__rk", "text")
-    found = here.mapInArrow(_scan(unit), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>")
+    found = here.mapInArrow(trimmed(_scan(unit)), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>")
     occurrence = F.struct("__id", "__rk", "pos")
     # Its first occurrence is the least of a row.
     found = found.withColumns({"total": F.sum("n").over(stretch), "least": F.min(occurrence).over(stretch)})
@@ -322,14 +324,14 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd:
 
     def contexts(marked: DataFrame) -> DataFrame:
         wanted = marked.groupBy("__id", "__rk").agg(F.collect_set(F.struct("gram", "pos", "fresh")).alias("asked"))
-        return here.join(wanted, ["__id", "__rk"]).mapInArrow(_contexts(unit), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
+        return here.join(wanted, ["__id", "__rk"]).mapInArrow(trimmed(_contexts(unit)), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
 
     compare, runs = contexts(marks.where("asked AND NOT crowded")), []
     if not (crowds := marks.where("asked AND crowded")).isEmpty():
         runs, left = _parted(cut(contexts(crowds)), unit, ordered, crowd)
         for more in left:
             compare = compare.unionByName(more.drop("crowded"))
-    compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit, index), "__id long, __rk int, start long, end long")
+    compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_resolve(unit, index)), "__id long, __rk int, start long, end long")
     first = F.shiftright("pos", 21)
     plain = marks.where("settled").select("__id", "__rk", first.alias("start"), (first + F.col("pos").bitwiseAND((1 << 21) - 1) + unit.length).alias("end"))
     for more in runs:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import sliced, trimmed
 from .repeats import CROWD, Hasher, Unit, keyed, merged, repeated
 
 LENGTH = 50
@@ -141,7 +142,7 @@ def dedup_words(docs: DataFrame, unit: Unit = UNIT, stride: int = STRIDE, crowd:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             kept, sizes, gone = [], [], []
             for text, found in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
                 raw = text.as_buffer()
@@ -156,7 +157,7 @@ def dedup_words(docs: DataFrame, unit: Unit = UNIT, stride: int = STRIDE, crowd:
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept_text", "n_words", "n_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__spans")
-    return joined.mapInArrow(run, f"{schema}, kept_text string, n_words long, n_removed long")
+    return joined.mapInArrow(trimmed(run), f"{schema}, kept_text string, n_words long, n_removed long")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import sliced, trimmed
 from .repeats import CROWD, Hasher, Unit, keyed, merged, repeated
 
 LENGTH = 400
@@ -84,7 +85,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False, crowd
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             kept, sizes, gone, runs = [], [], [], []
             for text, found in zip(batch.column(at), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
@@ -105,7 +106,7 @@ def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False, crowd
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *new], [*names, "kept_bytes", "n_bytes", "n_removed", "n_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__spans")
-    return joined.mapInArrow(run, f"{schema}, kept_bytes {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(trimmed(run), f"{schema}, kept_bytes {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
