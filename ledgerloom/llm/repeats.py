@@ -177,7 +177,7 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
         import pyarrow as pa
 
         h = Hasher()
-        names = ["gram", "bytes", "__id", "__rk", "first", "windows", "fresh"]
+        names = CONTEXT.names
         for batch in batches:
             rows, size = [], 0
             for i in range(batch.num_rows):
@@ -188,7 +188,7 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
                     first, n = item["pos"] >> 21, (item["pos"] & ((1 << 21) - 1)) + 1
                     end = first + n + unit.length - 1
                     a, b = (first, end) if spans is None else (int(spans[0][first]), int(spans[1][end - 1]))
-                    rows.append((item["gram"], raw.slice(a, b - a).to_pybytes(), doc, key, first, n, item["fresh"]))
+                    rows.append((item["gram"], raw.slice(a, b - a).to_pybytes(), doc, key, first, n, item["fresh"], item["crowded"]))
                     size += b - a
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=CONTEXT)
@@ -198,7 +198,7 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
 
     import pyarrow as pa
 
-    CONTEXT = pa.schema([("gram", pa.int64()), ("bytes", pa.binary()), ("__id", pa.int64()), ("__rk", pa.int32()), ("first", pa.int64()), ("windows", pa.int64()), ("fresh", pa.bool_())])
+    CONTEXT = pa.schema([("gram", pa.int64()), ("bytes", pa.binary()), ("__id", pa.int64()), ("__rk", pa.int32()), ("first", pa.int64()), ("windows", pa.int64()), ("fresh", pa.bool_()), ("crowded", pa.bool_())])
     return run
 
 
@@ -322,15 +322,13 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd:
         asked = F.col("several") & (occurrence == F.col("least"))
     marks = cut(members.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh"), "crowded").where("settled OR asked"))
 
-    def contexts(marked: DataFrame) -> DataFrame:
-        wanted = marked.groupBy("__id", "__rk").agg(F.collect_set(F.struct("gram", "pos", "fresh")).alias("asked"))
-        return here.join(wanted, ["__id", "__rk"]).mapInArrow(trimmed(_contexts(unit)), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
-
-    compare, runs = contexts(marks.where("asked AND NOT crowded")), []
-    if not (crowds := marks.where("asked AND crowded")).isEmpty():
-        runs, left = _parted(cut(contexts(crowds)), unit, ordered, crowd)
-        for more in left:
-            compare = compare.unionByName(more.drop("crowded"))
+    # Crowded or not, texts are joined once.
+    wanted = marks.where("asked").groupBy("__id", "__rk").agg(F.collect_set(F.struct("gram", "pos", "fresh", "crowded")).alias("asked"))
+    read = cut(here.join(wanted, ["__id", "__rk"]).mapInArrow(trimmed(_contexts(unit)), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean, crowded boolean"))
+    runs, left = _parted(read.where("crowded"), unit, ordered, crowd)
+    compare = read.where("NOT crowded").drop("crowded")
+    for more in left:
+        compare = compare.unionByName(more.drop("crowded"))
     compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_resolve(unit, index)), "__id long, __rk int, start long, end long")
     first = F.shiftright("pos", 21)
     plain = marks.where("settled").select("__id", "__rk", first.alias("start"), (first + F.col("pos").bitwiseAND((1 << 21) - 1) + unit.length).alias("end"))
