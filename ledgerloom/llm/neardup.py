@@ -5,8 +5,8 @@
    members of a bucket and not with its pairs.
 3. What verified links leave apart in a bucket is compared again: members outside the bucket's main component, in blocks,
    with all members of other components. So every pair that shares a band is linked, settled by a path, or tested.
-4. Estimates only spare work: a candidate is tested on full sets unless its estimate is SLACK under the threshold, some four
-   standard errors."""
+4. Every candidate is tested on full sets, unless the sizes alone rule it out. Estimates only order the tests in a block, so
+   that likely links come first and spare later ones."""
 
 from __future__ import annotations
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .base import cut, trimmed
 from .sketches import Shingler, band_keys, joint_estimate, sketches
 
-SLACK = 0.09
 LEAST = -(1 << 63)
 #: Members outside the main component that a task compares, and members that it compares them with.
 QUERIES, ROWS = 4096, 16384
@@ -109,23 +108,6 @@ def _verify(per_cent: int):
     return run
 
 
-def _estimate(per_cent: int):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
-            na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            keep = np.zeros(batch.num_rows, bool)
-            if batch.num_rows:
-                keep = (joint_estimate(ra, rb, na, nb) >= per_cent / 100 - SLACK) & (100 * np.minimum(na, nb) >= per_cent * np.maximum(na, nb))
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
-
-    return run
-
-
 def _rest(per_cent: int):
     """Links across components within a block, rows sorted by block: queries against all, each pair in the first band that it shares."""
     def run(batches: Iterator) -> Iterator:
@@ -181,7 +163,7 @@ def _cross(rows: list[dict], per_cent: int) -> list[tuple[int, int]]:
             continue
         score = joint_estimate(np.broadcast_to(own, (len(at), own.shape[1])), registers[at], np.full(len(at), float(q["n"])), n[at].astype(float))
         mine = np.frombuffer(q["set"], np.uint64)
-        for k in at[np.argsort(-score, kind="stable")][: int((score >= per_cent / 100 - SLACK).sum())].tolist():
+        for k in at[np.argsort(-score, kind="stable")].tolist():
             a, b = root(q["component"]), root(int(component[k]))
             if a != b and _linked(mine, sets[k], per_cent):
                 parent[max(a, b)] = min(a, b)
@@ -234,10 +216,10 @@ def _components(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     sets = cut(texts.select("rep", "text").mapInArrow(trimmed(_sets(size)), "rep long, set binary").dropDuplicates(["rep"]))
 
     pairs = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    a, b = (sketched.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab")
-    likely = pairs.join(b, "b").join(a, "a").mapInArrow(trimmed(_estimate(per_cent)), "a long, b long")
+    a, b = (sketched.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    fit = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb")).select("a", "b")
     sa, sb = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    links = cut(likely.join(sb, "b").join(sa, "a").mapInArrow(trimmed(_verify(per_cent)), "a long, b long"))
+    links = cut(fit.join(sb, "b").join(sa, "a").mapInArrow(trimmed(_verify(per_cent)), "a long, b long"))
 
     more = cut(_more_links(members, components(links), sketched, sets, per_cent))
     final = components(links.unionByName(more))

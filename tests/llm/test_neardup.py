@@ -95,6 +95,30 @@ def test_blocks_cover_every_pair(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize(("size", "per_cent", "n", "moved", "seeds"), [(3, 85, 111, 9, [511, 3241]), (5, 80, 90, 10, [315, 639, 898, 1141])])
+def test_a_low_estimate_cuts_no_link(spark, size, per_cent, n, moved, seeds):
+    """Pairs exactly at the threshold that share a band, but whose registers estimate them 0.09 and more below it."""
+    rows = []
+    for seed in seeds:
+        words = [f"v{seed}x{i}" for i in range(n + size - 1 + moved)]
+        rows += [(2 * seed, " ".join(words[: n + size - 1])), (2 * seed + 1, " ".join(words[moved:]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, per_cent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, size, per_cent)
+    assert {r.component_id for r in out} == {2 * seed for seed in seeds}
+
+
+def test_blocks_test_all_whatever_the_estimate(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "joint_estimate", lambda a, b, na, nb: np.zeros(len(a)))
+    sets = [np.sort(np.arange(k, k + 100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 2)]
+    registers = sketches.sketches(sets)
+    keys = sketches.band_keys(registers)
+    band = int(keys[0][(keys[0] == keys[1]).argmax()])
+    rows = [{"band": band, "rep": i, "component": i, "minor": True, "query": q, "n": 100, "registers": registers[i].tobytes(), "set": sets[i].tobytes()} for i in (0, 1) for q in (True, False)]
+    assert neardup._cross(rows, 85) == [(0, 1)]
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
