@@ -332,7 +332,7 @@ def _(s, d):
 
 @query("g3_betweenness")
 def _(s, d):
-    return graph.betweenness(graph.edges(events_ledger(s, d)), sources=100)
+    return graph.betweenness(graph.edges(events_ledger(s, d)))
 
 
 @query("viz_edge_widths", f"WITH {EDGE_SQL}, m AS (SELECT max(total_amount) mx FROM e) SELECT source_id, destination_id, round(1 + 5 * ln(1 + total_amount) / ln(1 + mx), 6) + 0.0 AS width, round(0.5 + 2 * ln(1 + total_amount) / ln(1 + mx), 6) + 0.0 AS thin_width FROM e, m")

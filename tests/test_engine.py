@@ -111,6 +111,42 @@ def test_betweenness_of_a_path(spark):
     assert {r.id: round(r.betweenness, 6) for r in graph.betweenness(e).collect()} == {"A": 0, "B": round(2 / 6, 6), "C": round(2 / 6, 6), "D": 0}
 
 
+def brute_betweenness(weights):
+    """Share of shortest paths through each node, by all distances and path counts."""
+    ids = sorted({x for edge in weights for x in edge})
+    dist = {s: {t: 0 if s == t else math.inf for t in ids} for s in ids}
+    for (u, v), w in weights.items():
+        dist[u][v] = min(dist[u][v], w)
+    for k in ids:
+        for s in ids:
+            if dist[s][k] < math.inf:
+                for t in ids:
+                    dist[s][t] = min(dist[s][t], dist[s][k] + dist[k][t])
+    paths = {s: {s: 1} for s in ids}
+    for s in ids:
+        for t in sorted((t for t in ids if t != s and dist[s][t] < math.inf), key=dist[s].get):
+            paths[s][t] = sum(paths[s].get(u, 0) for (u, v), w in weights.items() if v == t and u != t and dist[s][u] + w == dist[s][t])
+    out = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        for t in paths[s]:
+            for v in paths[s]:
+                if len({s, t, v}) == 3 and t in paths[v] and dist[s][v] + dist[v][t] == dist[s][t]:
+                    out[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    return {v: x / ((len(ids) - 1) * (len(ids) - 2)) for v, x in out.items()}
+
+
+def test_registered_betweenness_takes_all_sources(spark, tmp_path):
+    rng = random.Random(8)
+    pairs = [(i, (i + 1) % 130) for i in range(130)] + [(rng.randrange(130), rng.randrange(130)) for _ in range(200)]
+    rows = [(i, datetime(2024, 1, 1), float(rng.randint(1, 3)), u, f'{{"k": {v}}}', "p2p") for i, (u, v) in enumerate(pairs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, user_id long, props string, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    weights = {}
+    for (_, _, w, *_), pair in zip(rows, pairs, strict=True):
+        weights[pair] = weights.get(pair, 0.0) + w
+    got = {r.id: r.betweenness for r in registry.Q["g3_betweenness"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(brute_betweenness(weights)) and len(got) == 130
+
+
 def test_empty_ledger(spark, golden):
     empty = golden.limit(0)
     assert temporal.temporal_features(empty).count() == 0 and asof.clustering_asof(empty).count() == 0
