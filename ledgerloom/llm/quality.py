@@ -13,7 +13,8 @@ WINDOW = 5
 #: chi-square with 4 degrees: the share h = 0.75 of the half-sample, its consistency factor, and the 0.99999 quantile that rejects.
 SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 28.47
 #: Spread that every group is granted at least: log word length, then logs of 1 + 100 symbols a character, 1 + 10 repeated lines a line, 1 + 10 repeated words a word.
-FLOOR = (0.15, 0.35, 0.5, 0.5)
+#: In a group without repetition the last two alone reject from some 30 % repeated lines or 15 % repeated words on.
+FLOOR = (0.15, 0.35, 0.26, 0.17)
 DIM = range(len(FLOOR))
 KEY = ("doc_id", "lang", "source")
 

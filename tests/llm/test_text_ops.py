@@ -146,6 +146,53 @@ def test_quality_rejects_the_odd_one(spark):
     assert all(out[i] for i in range(300)) and not any(out[1000 + i] for i in range(10))
 
 
+def brute_verdicts(rows, least=100):
+    """(distance2, kept) of rows by a plain minimum covariance determinant; ranks as percentile_approx takes them."""
+    import math
+
+    import numpy as np
+
+    rank = lambda v, p: np.sort(v)[math.ceil(p * len(v)) - 1]
+    x, failed, places = [], [], []
+    for _, text, lang, source, _ in rows:
+        n, chars, symbols, lines, repeats = brute_statistics(text)
+        n_lines = sum(bool(WORD.search(line)) for line in (text or "").split("\n"))
+        x.append([math.log(max(chars, 1) / max(n, 1)), math.log(1 + 100 * symbols / max(chars, 1)), math.log(1 + 10 * lines / max(n_lines, 1)), math.log(1 + 10 * repeats / max(n, 1))])
+        failed.append(n < 10 or 100 * repeats > 20 * n)
+        places.append((lang, source))
+    x, failed, floor = np.array(x), np.array(failed), np.diag(np.square(quality.FLOOR))
+    sizes = Counter(p for p, f in zip(places, failed, strict=True) if not f)
+    groups = np.array(["/".join(p) if sizes[p] >= least else p[0] for p in places])
+    d2 = np.zeros(len(rows))
+    for g in set(groups):
+        y = x[(groups == g) & ~failed]
+        mean = np.array([rank(c, 0.5) for c in y.T])
+        cov = np.diag([(1.4826 * rank(abs(c - m), 0.5)) ** 2 for c, m in zip(y.T, mean, strict=True)]) + floor
+        far = lambda z: np.einsum("ij,ij->i", z - mean, np.linalg.solve(cov, (z - mean).T).T)  # noqa: B023, E731
+        for _ in range(3):
+            d = far(y)
+            near = y[d <= rank(d, quality.SHARE)]
+            mean, cov = near.mean(0), quality.CONSISTENCY * np.cov(near.T, bias=True) + floor
+        d2[groups == g] = far(x[groups == g])
+    return {i: (d, not f and d <= quality.CUTOFF) for (i, *_), d, f in zip(rows, d2, failed, strict=True)}
+
+
+def test_quality_rejects_repetition_as_a_plain_determinant_does(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows = [(i, "\n".join(text(rng.randint(8, 15)) for _ in range(rng.randint(2, 12))) + " %" * rng.choice([0, 0, 0, 1]), "en", rng.choice(["s0", "s1"]), 0) for i in range(320)]
+    rows += [(500 + i, text(60), "en", "few", 0) for i in range(30)]
+    lines = [(1000 + i, "\n".join(text(14) + "\nread on" for _ in range(20)), "en", "s0", 0) for i in range(5)]  # short equal lines: no five words repeat
+    passage = [(2000 + i, f"{(p := text(9))} {text(82)} {p}", "en", "s1", 0) for i in range(5)]  # 18 % of words repeat
+    every = rows + lines + passage
+    assert all(brute_statistics(t)[4] == 0 for _, t, *_ in lines) and all(100 * (s := brute_statistics(t))[4] <= 20 * s[0] for _, t, *_ in passage)
+    out = {r.doc_id: (r.distance2, r.kept) for r in quality.quality(spark.createDataFrame(every, SCHEMA)).collect()}
+    want = brute_verdicts(every)
+    assert {i: k for i, (_, k) in out.items()} == {i: k for i, (_, k) in want.items()}
+    assert {i: d for i, (d, _) in out.items()} == pytest.approx({i: d for i, (d, _) in want.items()}, rel=1e-6, abs=1e-9)
+    assert all(out[i][1] for i, *_ in rows) and not any(out[i][1] for i, *_ in lines + passage)
+
+
 def test_fingerprints_and_edits(docs, spark):
     rows = [(i, t) for i, t, *_ in corpus() if i is not None][:-1]
     df = spark.createDataFrame(rows, "doc_id long, text string")
