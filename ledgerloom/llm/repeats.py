@@ -6,7 +6,8 @@ occurrences together, at two rows or so per window length instead of one a symbo
 form a stretch. Equal stretches, by a 96-bit hash beside the gram's 64 bits, are settled without looking at the text. Only
 stretches that share a gram but differ are read, and a local index finds their common windows exactly. Where more than
 `CROWD` of them share a gram, as around a passage that very many documents embed, they are first parted by `_part`, round by
-round, until no index holds more."""
+round, until no index holds more. Grams of more than `HOT` occurrences never meet in one task: their stretches are counted by
+partial aggregates and joined back, and AQE splits what is skewed."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, mix, randoms, span_hashes, trimmed, word_spans
+from .base import cut, mix, randoms, sliced, small, span_hashes, trimmed, word_spans
 
 #: Fixed odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -25,9 +26,14 @@ PART = 1 << 20
 LEAST = -(1 << 63)
 #: Stretches of one gram that an index takes at once; beyond that they are parted, into PARTS ranges of windows a round.
 CROWD, PARTS = 4096, 4
+#: Occurrences of a gram from which on it is hot: all occurrences over HOT bounds how many such grams there can be.
+HOT = 4_000_000
 #: Bytes of stretches after which an index is closed at the next gram.
 SHARD = 500_000
-OCCURRENCE = "__id:long, __rk:int, pos:long"
+#: A row's key: its id and 128 bits of its text.
+KEY = ("__id", "__rk", "__rj")
+ROW = "__id long, __rk long, __rj long"
+OCCURRENCE = "__id:long, __rk:long, __rj:long, pos:long"
 
 
 @dataclass(frozen=True)
@@ -122,8 +128,12 @@ def stretches(h: Hasher, symbols, unit: Unit):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) plus a key: `__id`, never null (null counts as the least id), and `__rk`, 32 bits of the text. Rows with equal keys are copies and fare alike."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "__rk": F.hash("text", F.length("text"))})
+    """(row, text, __id, __rk, __rj) of docs(doc_id, text, ...): whole rows as structs, so that no column of theirs can clash, and their keys.
+
+    `__id` is never null (null counts as the least id). Rows with equal keys are copies and fare alike."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"),
+        F.xxhash64(text).alias("__rk"), F.xxhash64(F.lit(7), text).alias("__rj"))
 
 
 def _scan(unit: Unit) -> Callable[[Iterator], Iterator]:
@@ -133,7 +143,7 @@ def _scan(unit: Unit) -> Callable[[Iterator], Iterator]:
 
         h = Hasher()
         for batch in batches:
-            ids, keys, texts = batch.column("__id"), batch.column("__rk"), batch.column("text")
+            keys, texts = [batch.column(k) for k in KEY], batch.column("text")
             rows = []
             size = 0
             for i in range(batch.num_rows):
@@ -146,27 +156,27 @@ def _scan(unit: Unit) -> Callable[[Iterator], Iterator]:
                     rows.append((i, *found))
                     size += len(found[0])
                 if size > 200_000:
-                    yield emit(rows, ids, keys)
+                    yield emit(rows, keys)
                     rows, size = [], 0
             if rows:
-                yield emit(rows, ids, keys)
+                yield emit(rows, keys)
 
-    def emit(rows, ids, keys):
+    def emit(rows, keys):
         """A row for each distinct stretch of some documents: its first occurrence, and the rest as a list. Copies and periodic texts shrink before they are shuffled."""
         import numpy as np
         import pyarrow as pa
 
         owner = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
         gram, c1, c2, first, last = (np.concatenate([r[k] for r in rows]) for k in range(1, 6))
-        id_, key, pos = ids.to_numpy()[owner], keys.to_numpy()[owner], (first << 21) | (last - first)
-        order = np.lexsort((pos, key, id_, c2, c1, gram))
-        gram, c1, c2, id_, key, pos = (x[order] for x in (gram, c1, c2, id_, key, pos))
+        where = [*[k.to_numpy()[owner] for k in keys], (first << 21) | (last - first)]
+        order = np.lexsort((*where[::-1], c2, c1, gram))
+        gram, c1, c2, *where = (x[order] for x in (gram, c1, c2, *where))
         new = np.r_[True, (gram[1:] != gram[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]
         head, more = np.flatnonzero(new), np.flatnonzero(~new)
         n = np.diff(np.r_[head, len(new)])
-        rest = pa.StructArray.from_arrays([pa.array(x[more]) for x in (id_, key, pos)], ["__id", "__rk", "pos"])
+        rest = pa.StructArray.from_arrays([pa.array(x[more]) for x in where], [*KEY, "pos"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - 1)].astype(np.int32)), rest, mask=pa.array(n == 1))
-        return pa.RecordBatch.from_arrays([pa.array(gram[head].view(np.int64)), pa.array(c1[head].view(np.int64)), pa.array(c2[head].astype(np.int64).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(id_[head]), pa.array(key[head]), pa.array(pos[head]), lists], ["gram", "c1", "c2", "n", "__id", "__rk", "pos", "rest"])
+        return pa.RecordBatch.from_arrays([pa.array(gram[head].view(np.int64)), pa.array(c1[head].view(np.int64)), pa.array(c2[head].astype(np.int64).astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.array(x[head]) for x in where], lists], ["gram", "c1", "c2", "n", *KEY, "pos", "rest"])
 
     return run
 
@@ -182,13 +192,13 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
             rows, size = [], 0
             for i in range(batch.num_rows):
                 raw = batch.column("text")[i].as_buffer()
-                doc, key = batch.column("__id")[i].as_py(), batch.column("__rk")[i].as_py()
+                key = [batch.column(k)[i].as_py() for k in KEY]
                 spans = h.symbols(raw, unit.kind)[1] if unit.kind == "words" else None
                 for item in batch.column("asked")[i].as_py():
                     first, n = item["pos"] >> 21, (item["pos"] & ((1 << 21) - 1)) + 1
                     end = first + n + unit.length - 1
                     a, b = (first, end) if spans is None else (int(spans[0][first]), int(spans[1][end - 1]))
-                    rows.append((item["gram"], raw.slice(a, b - a).to_pybytes(), doc, key, first, n, item["fresh"], item["crowded"]))
+                    rows.append((item["gram"], raw.slice(a, b - a).to_pybytes(), *key, first, n, item["fresh"], item["crowded"]))
                     size += b - a
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=CONTEXT)
@@ -198,7 +208,7 @@ def _contexts(unit: Unit) -> Callable[[Iterator], Iterator]:
 
     import pyarrow as pa
 
-    CONTEXT = pa.schema([("gram", pa.int64()), ("bytes", pa.binary()), ("__id", pa.int64()), ("__rk", pa.int32()), ("first", pa.int64()), ("windows", pa.int64()), ("fresh", pa.bool_()), ("crowded", pa.bool_())])
+    CONTEXT = pa.schema([("gram", pa.int64()), ("bytes", pa.binary()), *[(k, pa.int64()) for k in (*KEY, "first", "windows")], ("fresh", pa.bool_()), ("crowded", pa.bool_())])
     return run
 
 
@@ -212,7 +222,7 @@ def _part(unit: Unit, size: int) -> Callable[[Iterator], Iterator]:
         import pyarrow as pa
 
         h = Hasher()
-        schema = pa.schema([*[(k, pa.int64()) for k in ("k1", "k2", "s1", "s2")], ("bytes", pa.binary()), ("__id", pa.int64()), ("__rk", pa.int32()), ("first", pa.int64()), ("windows", pa.int64()), ("fresh", pa.bool_())])
+        schema = pa.schema([*[(k, pa.int64()) for k in ("k1", "k2", "s1", "s2")], ("bytes", pa.binary()), *[(k, pa.int64()) for k in (*KEY, "first", "windows")], ("fresh", pa.bool_())])
         for batch in batches:
             rows, held = [], 0
             for row in batch.to_pylist():
@@ -237,7 +247,7 @@ def _part(unit: Unit, size: int) -> Callable[[Iterator], Iterator]:
                 hashes = [x.view(np.int64).tolist() for x in (k1, k2, s1, s2)]
                 for i, (f, e) in enumerate(zip(lo.tolist(), end.tolist(), strict=True)):
                     x, y = (f, e) if spans is None else (int(spans[0][f]), int(spans[1][e - 1]))
-                    rows.append([*[v[i] for v in hashes], raw[x:y], row["__id"], row["__rk"], row["first"] + f, int(hi[i]) - f, row["fresh"]])
+                    rows.append([*[v[i] for v in hashes], raw[x:y], *[row[k] for k in KEY], row["first"] + f, int(hi[i]) - f, row["fresh"]])
                     held += y - x
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
@@ -254,20 +264,20 @@ def _parted(crowds: DataFrame, unit: Unit, ordered: bool, crowd: int) -> tuple[l
     size = unit.length - unit.gram + 1
     while size > 1 and not crowds.isEmpty():
         size = -(-size // PARTS)
-        piece, group = Window.partitionBy("k1", "k2", "s1", "s2"), Window.partitionBy("k1", "k2")
-        occurrence = F.struct("__id", "__rk", "first")
-        found = crowds.select("bytes", "__id", "__rk", "first", "windows", "fresh").mapInArrow(trimmed(_part(unit, size)), "k1 long, k2 long, s1 long, s2 long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean")
-        found = found.withColumns({"total": F.count(F.lit(1)).over(piece), "least": F.min(occurrence).over(piece)})
-        several = ((F.min("s1").over(group) != F.max("s1").over(group)) | (F.min("s2").over(group) != F.max("s2").over(group))) & (F.lit(ordered) | F.max(F.col("fresh") & (F.col("total") == 1)).over(group))
-        found = found.withColumns({"several": several, "crowded": F.count(F.lit(1)).over(group) > crowd})
+        occurrence = F.struct(*KEY, "first")
+        found = cut(crowds.select("bytes", *KEY, "first", "windows", "fresh").mapInArrow(trimmed(_part(unit, size)), f"k1 long, k2 long, s1 long, s2 long, bytes binary, {ROW}, first long, windows long, fresh boolean"))
+        # Partial aggregates, not windows: a core that very many stretches share must not be one task.
+        pieces = found.groupBy("k1", "k2", "s1", "s2").agg(F.count(F.lit(1)).alias("total"), F.min(occurrence).alias("least"), F.max("fresh").alias("any"))
+        cores = pieces.groupBy("k1", "k2").agg(((F.count(F.lit(1)) > 1) & (F.lit(ordered) | F.max(F.col("any") & (F.col("total") == 1)))).alias("several"), (F.sum("total") > crowd).alias("crowded"))
+        found = found.join(pieces.join(cores, ["k1", "k2"]).drop("any"), ["k1", "k2", "s1", "s2"])
         if ordered:
             settled, fresh = F.col("__id") > F.col("least.__id"), F.lit(True)
             asked = F.col("several") & ~settled
         else:
             settled, fresh = F.col("fresh") & (F.col("total") > 1), F.col("fresh") & (F.col("total") == 1)
             asked = F.col("several") & (occurrence == F.col("least"))
-        found = cut(found.select(F.col("k1").alias("gram"), "bytes", "__id", "__rk", "first", "windows", fresh.alias("fresh"), settled.alias("settled"), asked.alias("asked"), "crowded").where("settled OR asked"))
-        runs.append(found.where("settled").select("__id", "__rk", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + unit.length).alias("end")))
+        found = cut(found.select(F.col("k1").alias("gram"), "bytes", *KEY, "first", "windows", fresh.alias("fresh"), settled.alias("settled"), asked.alias("asked"), "crowded").where("settled OR asked"))
+        runs.append(found.where("settled").select(*KEY, F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + unit.length).alias("end")))
         asked_ = found.where("asked").drop("settled", "asked")
         left.append(asked_.where("NOT crowded"))
         crowds = asked_.where("crowded")
@@ -283,9 +293,9 @@ def _resolve(unit: Unit, index: Callable) -> Callable[[Iterator], Iterator]:
         shard: list[dict] = []
 
         def flush(rows):
-            out = [(rows[r]["__id"], rows[r]["__rk"], rows[r]["first"] + a, rows[r]["first"] + b + unit.length) for r, a, b in index(h, rows)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["__id", "__rk", "start", "end"])
+            out = [(*[rows[r][k] for k in KEY], rows[r]["first"] + a, rows[r]["first"] + b + unit.length) for r, a, b in index(h, rows)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*KEY, "start", "end"])
 
         size = 0
         for batch in batches:
@@ -301,40 +311,72 @@ def _resolve(unit: Unit, index: Callable) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd: int = CROWD) -> DataFrame:
-    """(__id, __rk, __spans): stretches of symbols under windows that also start elsewhere (or, if `ordered`, in a document of a smaller id). docs has doc_id, text, __id, __rk."""
+def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd: int = CROWD, hot: int | None = None) -> DataFrame:
+    """(__id, __rk, __rj, __spans): stretches of symbols under windows that also start elsewhere (or, if `ordered`, in a document of a smaller id). docs is `keyed`."""
     stretch = Window.partitionBy("gram", "c1", "c2")
     gram = Window.partitionBy("gram")
-    here = docs.select("__id", "__rk", "text")
-    found = here.mapInArrow(trimmed(_scan(unit)), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>")
-    occurrence = F.struct("__id", "__rk", "pos")
+    here = docs.select(*KEY, "text")
+    found = cut(here.mapInArrow(trimmed(_scan(unit)), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>"))
+    occurrence = F.struct(*KEY, "pos")
+    hot_grams = cut(found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > (hot or HOT)).select("gram"))
+    some = not hot_grams.isEmpty()
+    plain = found.join(small(hot_grams, 1_000_000), "gram", "left_anti") if some else found
     # Its first occurrence is the least of a row.
-    found = found.withColumns({"total": F.sum("n").over(stretch), "least": F.min(occurrence).over(stretch)})
-    found = found.withColumn("several", (F.min("c1").over(gram) != F.max("c1").over(gram)) & (F.lit(ordered) | (F.min("total").over(gram) == 1)))
-    found = found.withColumn("crowded", F.count(F.lit(1)).over(gram) > crowd)
-    found = found.where(F.col("several") | (F.col("total") > 1))
-    members = found.select("gram", "total", "least", "several", "crowded", F.explode(F.concat(F.array(occurrence), F.coalesce("rest", F.array().cast(f"array<struct<{OCCURRENCE}>>")))).alias("o")).select("gram", "total", "least", "several", "crowded", "o.*")
+    plain = plain.withColumns({"total": F.sum("n").over(stretch), "least": F.min(occurrence).over(stretch)})
+    plain = plain.withColumn("several", (F.min("c1").over(gram) != F.max("c1").over(gram)) & (F.lit(ordered) | (F.min("total").over(gram) == 1)))
+    plain = plain.withColumn("crowded", F.count(F.lit(1)).over(gram) > crowd)
+    cols = ["gram", *KEY, "pos", "rest", "total", "least", "several", "crowded"]
+    every = plain.select(*cols)
+    if some:
+        much = found.join(small(hot_grams, 1_000_000), "gram", "left_semi")
+        kinds = much.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("total"), F.min(occurrence).alias("least"))
+        per = kinds.groupBy("gram").agg(((F.count(F.lit(1)) > 1) & (F.lit(ordered) | (F.min("total") == 1))).alias("several"), (F.count(F.lit(1)) > crowd).alias("crowded"))
+        every = every.unionByName(much.join(kinds.join(small(cut(per), 1_000_000), "gram"), ["gram", "c1", "c2"]).select(*cols))
+    every = every.where(F.col("several") | (F.col("total") > 1))
+    members = every.select("gram", "total", "least", "several", "crowded", F.explode(F.concat(F.array(occurrence), F.coalesce("rest", F.array().cast(f"array<struct<{OCCURRENCE}>>")))).alias("o")).select("gram", "total", "least", "several", "crowded", "o.*")
     if ordered:
         settled, fresh = F.col("__id") > F.col("least.__id"), F.lit(True)
         asked = F.col("several") & ~settled
     else:
         settled, fresh = F.col("total") > 1, F.col("total") == 1
         asked = F.col("several") & (occurrence == F.col("least"))
-    marks = cut(members.select("__id", "__rk", "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh"), "crowded").where("settled OR asked"))
+    marks = cut(members.select(*KEY, "pos", "gram", settled.alias("settled"), asked.alias("asked"), fresh.alias("fresh"), "crowded").where("settled OR asked"))
 
     # Crowded or not, texts are joined once.
-    wanted = marks.where("asked").groupBy("__id", "__rk").agg(F.collect_set(F.struct("gram", "pos", "fresh", "crowded")).alias("asked"))
-    read = cut(here.join(wanted, ["__id", "__rk"]).mapInArrow(trimmed(_contexts(unit)), "gram long, bytes binary, __id long, __rk int, first long, windows long, fresh boolean, crowded boolean"))
+    wanted = marks.where("asked").groupBy(*KEY).agg(F.collect_set(F.struct("gram", "pos", "fresh", "crowded")).alias("asked"))
+    read = cut(here.join(wanted, list(KEY)).mapInArrow(trimmed(_contexts(unit)), f"gram long, bytes binary, {ROW}, first long, windows long, fresh boolean, crowded boolean"))
     runs, left = _parted(read.where("crowded"), unit, ordered, crowd)
     compare = read.where("NOT crowded").drop("crowded")
     for more in left:
         compare = compare.unionByName(more.drop("crowded"))
-    compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_resolve(unit, index)), "__id long, __rk int, start long, end long")
+    compared = compare.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_resolve(unit, index)), f"{ROW}, start long, end long")
     first = F.shiftright("pos", 21)
-    plain = marks.where("settled").select("__id", "__rk", first.alias("start"), (first + F.col("pos").bitwiseAND((1 << 21) - 1) + unit.length).alias("end"))
+    spans = marks.where("settled").select(*KEY, first.alias("start"), (first + F.col("pos").bitwiseAND((1 << 21) - 1) + unit.length).alias("end"))
     for more in runs:
-        plain = plain.unionByName(more)
-    return plain.unionByName(compared).groupBy("__id", "__rk").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+        spans = spans.unionByName(more)
+    return spans.unionByName(compared).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+
+
+def outcome(docs: DataFrame, spans: DataFrame, own: str, row) -> DataFrame:
+    """The rows of `keyed` docs with columns `own` that row(text bytes or None, merged runs) gives for each."""
+    from pyspark.sql import types as T
+
+    joined = docs.join(spans, list(KEY), "left").select("row", "text", "__spans")
+    made = T.StructType.fromDDL(own)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(made)
+        for batch in sliced(batches):
+            texts, found = batch.column(1), batch.column(2).to_pylist()
+            rows = [row(t.as_buffer(), merged(f)) for t, f in zip(texts, found, strict=True)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], ["row", *schema.names])
+
+    out = joined.mapInArrow(trimmed(run), T.StructType([joined.schema["row"], *made.fields]))
+    return out.select("row.*", *made.names)
 
 
 def merged(spans) -> list[tuple[int, int]]:

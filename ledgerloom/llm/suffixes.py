@@ -1,124 +1,123 @@
-"""Suffix-array dedup: windows of bytes that occur twice are cut, found by bucket-pointer refinement."""
+"""Suffix-array dedup: windows that occur twice are cut, found by bucket-pointer refinement."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sliced, trimmed
-from .repeats import CROWD, Hasher, Unit, keyed, merged, repeated
+from .base import word_spans
+from .repeats import CROWD, Hasher, Unit, keyed, outcome, repeated
 
 LENGTH = 400
 UNIT = Unit("bytes", LENGTH, 100)
+#: For passages rather than bytes: words, however they are spaced.
+PASSAGE = Unit("words", 50, 16)
 
 
-def refine(bucket, heads, depth: int, target: int):
-    """Bucket pointers at depth `target` from those at `depth`: suffixes are sorted on the pair of their own pointer and the pointer `depth` further on.
+def order(grams, q: int, target: int, parts: int = 8):
+    """Places sorted by their first `target` symbols, by bucket-pointer refinement.
 
-    bucket: pointer of each place, -1 where a suffix is alone in its bucket or too short; such suffixes drop out, and so does
-    whatever would look at them. heads: the places that count in the last round. Updates are used again by the next round."""
+    grams: the number of the q-gram that starts at each place, -1 where fewer than q symbols of its string are left and at a
+    place between strings. A place's bucket pointer is the first slot of its bucket. Buckets are refined from left to right, in `parts` of about equal size:
+    their places are sorted on the pointers of the places `depth` further on, pointers are written back at once, and what is
+    still alike goes on at the next depth. So later rounds and later buckets look at pointers that are refined already and
+    part sooner; a refined pointer lies within its old bucket's slots, so the order by q-grams at 0, q, 2q, .. holds."""
     import numpy as np
 
-    while depth < target:
-        step = min(depth, target - depth)
-        place = np.flatnonzero((bucket >= 0) & heads if depth + step == target else bucket >= 0)
-        place = place[place + step < len(bucket)]
-        ahead = bucket[place + step]
-        place, ahead = place[ahead >= 0], ahead[ahead >= 0]
-        order = np.lexsort((ahead, bucket[place]))
-        place, ahead = place[order], ahead[order]
-        own = bucket[place]
-        new = np.ones(len(place), bool)
-        new[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
-        rank = np.cumsum(new) - 1
-        count = np.bincount(rank) if len(rank) else np.zeros(0, np.int64)
-        bucket = np.full(len(bucket), -1, np.int64)
-        many = count[rank] > 1 if len(rank) else np.zeros(0, bool)
-        bucket[place[many]] = rank[many]
-        depth += step
-    return bucket
+    n = len(grams)
+    places = np.flatnonzero(grams >= 0)
+    sa = places[np.argsort(grams[places], kind="stable")]
+    first = np.flatnonzero(np.r_[True, grams[sa[1:]] != grams[sa[:-1]]]) if len(sa) else places
+    size = np.diff(np.r_[first, len(sa)])
+    pointer = np.full(n + target, -1, np.int64)
+    pointer[sa] = np.repeat(first, size)
+    wide = np.flatnonzero(np.repeat(size > 1, size))
+    # A part ends with a bucket.
+    ends = [0, *[int(np.searchsorted(wide, pointer[sa[wide[len(wide) * k // parts]]])) for k in range(1, parts)], len(wide)] if len(wide) else [0]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        slots, depth = wide[lo:hi], q
+        while depth < target and len(slots):
+            members = sa[slots]
+            key = pointer[members] * (n + 1) + pointer[members + depth] + 1
+            by = np.argsort(key)
+            members, key = members[by], key[by]
+            sa[slots] = members
+            new = np.r_[True, key[1:] != key[:-1]]
+            group = np.cumsum(new) - 1
+            pointer[members] = slots[new][group]
+            slots = slots[np.bincount(group)[group] > 1]
+            depth += q
+    return sa
 
 
 def index(h: Hasher, rows: list[dict], unit: Unit = UNIT) -> list[tuple[int, int, int]]:
-    """Runs of windows of each fresh row that occur in another place of the shard."""
+    """Runs of windows of each fresh row that occur in another place of the shard: neighbours in the suffix order with equal windows."""
     import numpy as np
 
-    text = b"".join(r["bytes"] for r in rows)
-    size = np.array([len(r["bytes"]) for r in rows])
-    start = np.r_[0, np.cumsum(size)[:-1]]
-    symbols, _ = h.symbols(text, "bytes")
-    prefix = h.prefix(symbols, 0)
-    q = unit.gram
-    places = np.arange(len(text) - q + 1)
-    identifier = h.stretch(prefix, places, places + q, 0)
-    # Initial buckets by q-gram; grams across two strings get none.
-    inside = (start + size)[np.searchsorted(start, places, "right") - 1] - places >= q
-    identifier, places = identifier[inside], places[inside]
-    order = np.argsort(identifier, kind="stable")
-    places, identifier = places[order], identifier[order]
-    rank = np.cumsum(np.r_[True, identifier[1:] != identifier[:-1]]) - 1
-    many = np.bincount(rank)[rank] > 1
-    bucket = np.full(len(text), -1, np.int64)
-    bucket[places[many]] = rank[many]
+    # The q-grams of a window lie side by side.
+    q = next(k for k in range(unit.gram, 0, -1) if unit.length % k == 0)
+    symbols, _ = h.symbols((b"" if unit.kind == "bytes" else b"\n").join(r["bytes"] for r in rows), unit.kind)
     windows = np.array([r["windows"] for r in rows])
-    heads = np.zeros(len(text), bool)
-    heads[np.repeat(start, windows) + np.arange(int(windows.sum())) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)] = True
-    bucket = refine(bucket, heads, q, unit.length)
+    size = windows + unit.length - 1
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    places = np.arange(len(symbols) - q + 1)
+    row = np.searchsorted(start, places, "right") - 1
+    whole = (start + size)[row] - places >= q
+    inside, row = places[whole], row[whole]
+    # A place after each string keeps suffixes from running into the next.
+    grams = np.full(len(symbols) + len(rows) + unit.length, -1, np.int64)
+    grams[inside + row] = np.unique(h.stretch(h.prefix(symbols, 0), inside, inside + q, 0), return_inverse=True)[1]
+    sa = order(grams, q, unit.length)
+    a, b = sa[:-1], sa[1:]
+    alike = np.ones(len(a), bool)
+    for k in range(0, unit.length, q):
+        alike &= (grams[a + k] == grams[b + k]) & (grams[a + k] >= 0)
+    twice = np.zeros(len(grams), bool)
+    start += np.arange(len(rows))
+    twice[a[alike]] = twice[b[alike]] = True
     out = []
     for r, row in enumerate(rows):
         if row["fresh"]:
-            hit = np.flatnonzero(np.diff(np.r_[False, bucket[start[r] : start[r] + row["windows"]] >= 0, False].astype(np.int8)))
+            hit = np.flatnonzero(np.diff(np.r_[False, twice[start[r] : start[r] + row["windows"]], False].astype(np.int8)))
             out += [(r, int(a), int(b) - 1) for a, b in zip(hit[::2], hit[1::2], strict=True)]
     return out
 
 
-def dedup_bytes(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False, crowd: int = CROWD) -> DataFrame:
+def dedup(docs: DataFrame, unit: Unit = UNIT, as_text: bool = False, crowd: int = CROWD, hot: int | None = None) -> DataFrame:
     """docs plus kept_bytes, n_bytes, n_removed, n_spans. kept_bytes is binary, or text without the odd bytes of cut characters.
 
     Every byte under a window of `unit.length` bytes that also starts elsewhere in the table is removed, judged on the input.
-    Null texts are empty, texts under that length are untouched; copies of a row remove each other's text; columns of those
-    names in docs are replaced."""
+    With words as the unit, all from the first word of a run of such windows up to the next word that stays goes. Null texts
+    are empty, texts under that length are untouched; copies of a row remove each other's text; columns of those four names in
+    docs are replaced, all others come back whatever their names. Long texts are read whole; an empty table gives an empty one."""
     docs = keyed(docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans"))
-    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit), ordered=False, crowd=crowd)
-    joined = docs.join(spans, ["__id", "__rk"], "left").drop("__id", "__rk")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in sliced(batches):
-            at = batch.schema.get_field_index("text")
-            kept, sizes, gone, runs = [], [], [], []
-            for text, found in zip(batch.column(at), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
-                raw = (text.as_buffer() or pa.py_buffer(b"")).to_pybytes()
-                cuts = merged(found)
-                parts, last = [], 0
-                for a, b in cuts:
-                    parts.append(raw[last:a])
-                    last = b
-                parts.append(raw[last:])
-                out = b"".join(parts)
-                kept.append(out)
-                sizes.append(len(raw))
-                gone.append(len(raw) - len(out))
-                runs.append(len(cuts))
-            new = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)]]
-            names = [n for n in batch.schema.names if n != "__spans"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *new], [*names, "kept_bytes", "n_bytes", "n_removed", "n_spans"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__spans")
-    return joined.mapInArrow(trimmed(run), f"{schema}, kept_bytes {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    spans = repeated(docs, unit, lambda h, rows: index(h, rows, unit), ordered=False, crowd=crowd, hot=hot)
+
+    def row(buffer, runs):
+        import numpy as np
+
+        raw = buffer.to_pybytes() if buffer else b""
+        if runs and unit.kind == "words":
+            starts, ends = word_spans(np.frombuffer(raw, np.uint8))
+            runs = [(int(starts[a]), int(starts[b] if b < len(starts) else ends[-1])) for a, b in runs]
+        edges = [0, *[x for run in runs for x in run], len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        return kept.decode("utf-8", "ignore") if as_text else kept, len(raw), len(raw) - len(kept), len(runs)
+
+    return outcome(docs, spans, f"kept_bytes {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", row)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup_bytes(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
 
+def without_repeats(docs: DataFrame, unit: Unit = PASSAGE) -> DataFrame:
+    """docs with repeated passages cut from text, every occurrence, and n_chars set anew. A cut inside a character drops what is left of it.
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut from text and n_chars set anew. A cut inside a character drops what is left of it."""
-    out = dedup_bytes(docs, as_text=True)
+    Works on a struct of each row, so columns of any name pass; null texts stay null."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    out = dedup(whole, unit, as_text=True)
     touched = F.col("n_removed") > 0
     text = F.when(touched, F.col("kept_bytes")).otherwise(F.col("text"))
-    cols = {"text": text}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(touched, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    new = {"text": text, "n_chars": F.when(touched, F.length(text).cast("long")).otherwise(F.col("whole")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col("whole")[c].alias(c) for c in docs.columns])
