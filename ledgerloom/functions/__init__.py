@@ -16,6 +16,12 @@ def r96(c: Column) -> Column:
     return r6(F.round(c, 9))
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) fixed by seed and keys, the first 13 hexadecimal digits of an MD5: any engine can repeat it, and so do retries."""
+    h = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("~")) for k in keys]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
 def cents(c: Column) -> Column:
     """Round half away from zero on the scaled value."""
     return F.round(c * 100) / 100

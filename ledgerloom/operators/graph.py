@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draw
 from ..runtime import cut
 
 
@@ -38,12 +39,12 @@ def pagerank(e: DataFrame, *, iterations: int | None = None, damping: float = 0.
     if not n:
         return base.select("id", F.lit(0.0).alias("pagerank"))
     ranks = base.withColumn("pagerank", F.lit(1.0 / n))
-    for step in range(iterations or max_iterations):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost")).first()["lost"]
+    lost = base.where("dangling").count() / n
+    for _ in range(iterations or max_iterations):
         inflow = links.join(ranks, links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("inflow"))
         new = cut(ranks.withColumnRenamed("pagerank", "old").join(inflow, "id", "left").select(
             "id", "dangling", "old", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("inflow", F.lit(0.0))).alias("pagerank")))
-        change = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+        change, lost = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0))).first()
         ranks = new.drop("old")
         if iterations is None and change < n * tol:
             break
@@ -228,7 +229,7 @@ def sampled_nodes(e: DataFrame, k: int, seed: int) -> DataFrame:
     """Half of the highest degree, half drawn from the rest."""
     deg = degrees(e).select("id", (F.col("in_degree") + F.col("out_degree")).alias("deg"))
     top = deg.orderBy(F.desc("deg"), "id").limit(k // 2)
-    rest = deg.join(top, "id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k - k // 2)
+    rest = deg.join(top, "id", "left_anti").orderBy(draw(seed, F.col("id")), "id").limit(k - k // 2)
     return top.select("id").union(rest.select("id")).distinct()
 
 
@@ -241,15 +242,26 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     return placed.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def summary_histograms(e: DataFrame, ranks: DataFrame, bins: int = 50) -> DataFrame:
+    """(measure, bin, n): degrees both ways, PageRank, component sizes and net flow. Sums are rounded, so that no bin hangs on their order."""
+    n = node_table(e, ranks).select("id", "in_degree", "out_degree", F.round("pagerank", 9).alias("pagerank"), F.round("net_flow", 6).alias("net_flow"))
+    sizes = component_sizes(scc(e)).withColumnRenamed("size", "component_size")
+    out = None
+    for df, measure in ((n, "in_degree"), (n, "out_degree"), (n, "pagerank"), (sizes, "component_size"), (n, "net_flow")):
+        one = histogram(df, measure, bins).select(F.lit(measure).alias("measure"), "bin", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def visual_attributes(e: DataFrame, n: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edge widths, node colours and tooltips; one-row maxima are broadcast."""
     top = e.agg(F.coalesce(F.max("total_amount"), F.lit(1.0)).alias("mx"))
     span = n.agg(F.min("pagerank").alias("lo"), F.max("pagerank").alias("hi"))
     ee = e.join(F.broadcast(top)).select("source_id", "destination_id", "total_amount", "count",
         (1 + 5 * F.log1p("total_amount") / F.log1p("mx")).alias("width"), (0.5 + 2 * F.log1p("total_amount") / F.log1p("mx")).alias("thin_width"),
-        F.format_string("Amount: %.2f, Count: %d", "total_amount", "count").alias("title"))
+        F.format_string("Amount: %.2f<br>Count: %d", "total_amount", "count").alias("title"))
     nn = n.join(F.broadcast(span)).select("id", "pagerank",
         F.when(F.col("hi") > F.col("lo"), (F.col("pagerank") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("value"),
-        F.format_string("rgb(255,%d,0)", F.greatest(F.lit(0), F.floor(255 * (1 - 10 * F.col("pagerank")))).cast("int")).alias("color"),
-        F.format_string("%s: PageRank %.4f, in %d, out %d, net %.2f", F.col("id").cast("string"), "pagerank", "in_degree", "out_degree", "net_flow").alias("title"))
+        F.format_string("rgba(255, %d, 0, 0.8)", F.greatest(F.lit(0), (255 * (1 - 10 * F.col("pagerank"))).cast("int"))).alias("color"),
+        F.format_string("Node: %s<br>PageRank: %.4f<br>Degree: %d/%d", F.col("id").cast("string"), "pagerank", "in_degree", "out_degree").alias("title"))
     return ee, nn

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import local_dow, local_hour
+from ..functions import draw, local_dow, local_hour
 from ..schema import ProfileConfig
+from ..sources import sampled
+
+# What the steps are called, in lower case and with underscores, where one fails.
+TITLES = {
+    "metadata": "Connecting to DB...",
+    "temporal_heatmap": "Building temporal heatmap (streaming)...",
+    "categorical_weights": "Weighting categoricals (stratified)...",
+    "monetary_distribution": "Calculating monetary Pareto (reservoir)...",
+    "graph_topology": "Capturing graph topology (HyperLogLog)...",
+}
 
 
 def heatmap(df: DataFrame, tz: str) -> DataFrame:
@@ -39,9 +52,33 @@ def categorical(df: DataFrame, column: str, top: int = 10, min_sample: int | Non
             .orderBy(F.desc("volume"), "value").limit(top))
 
 
-def percentile(df: DataFrame, q: float = 0.95) -> DataFrame:
-    """Exact interpolated quantile of amount, one row."""
-    return df.agg(F.percentile("amount", F.lit(q)).alias("p95"))
+def percentile(df: DataFrame, q: float = 0.95, column: str = "amount", out: str = "p95", limit: int = 100_000, bins: int = 1024) -> DataFrame:
+    """Exact interpolated quantile, one row, null without values.
+
+    Passes of `bins` counters, merged map-side, narrow the range around the two ranks until at most `limit` values are left, so
+    no reducer ever holds all values; each pass narrows the range by a factor of bins / 2 at least."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, lo, hi = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    rank, below, inside, found = (n - 1) * q, 0, n, (lo, lo)
+    first, last = math.floor(rank), math.ceil(rank)
+    while n and lo < hi:
+        part = x.where(F.col("x").between(lo, hi))
+        if inside <= limit:
+            values = sorted(r.x for r in part.collect())
+            found = values[first - below], values[last - below]
+            break
+        step = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / (hi - lo) * bins))
+        rows = sorted(part.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+        ends = list(accumulate(r.n for r in rows))
+        a, b = (next(i for i, e in enumerate(ends) if below + e > r) for r in (first, last))
+        found = rows[a].lo, rows[b].hi
+        if all(rows[i].lo == rows[i].hi for i in (a, b)):
+            break
+        lo, hi, inside, below = rows[a].lo, rows[b].hi, ends[b] - ends[a] + rows[a].n, below + ends[a] - rows[a].n
+    else:
+        found = lo, lo
+    value = None if not n else found[0] + (found[1] - found[0]) * (rank - first)
+    return df.sparkSession.range(0, 1, 1, 1).select(F.lit(value).cast("double").alias(out))
 
 
 def tail(df: DataFrame, q: float = 0.95) -> DataFrame:
@@ -62,9 +99,10 @@ def pareto_fit(stats: DataFrame) -> DataFrame:
         "threshold", F.col("n").alias("tail_count"), "min", "max", "mean")
 
 
-def reservoir(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """k rows drawn uniformly: a bounded heap a partition."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(k).drop("_r")
+def reservoir(df: DataFrame, k: int, seed: int, *key: str) -> DataFrame:
+    """k rows drawn uniformly: a bounded heap a partition. With key columns the draw hangs on them alone."""
+    r = draw(seed, *[F.col(c) for c in key]) if key else F.rand(seed)
+    return df.withColumn("_r", r).orderBy("_r", *key).limit(k).drop("_r")
 
 
 def source_degrees(df: DataFrame) -> DataFrame:
@@ -72,20 +110,29 @@ def source_degrees(df: DataFrame) -> DataFrame:
 
 
 def degree_stats(df: DataFrame) -> DataFrame:
-    return source_degrees(df).agg(F.count(F.lit(1)).alias("users"), F.sum("tx_count").alias("transactions"), F.sum(F.ln("tx_count")).alias("sum_ln"), F.percentile("tx_count", F.lit(0.5)).alias("median"))
+    d = source_degrees(df)
+    return d.agg(F.count(F.lit(1)).alias("users"), F.sum("tx_count").alias("transactions"), F.sum(F.ln("tx_count")).alias("sum_ln")).join(F.broadcast(percentile(d, 0.5, "tx_count", "median")))
 
 
 def degree_alpha(df: DataFrame) -> DataFrame:
-    return degree_stats(df).select("users", F.when(F.col("sum_ln") > 0, 1 + F.col("users") / F.col("sum_ln")).otherwise(0.0).alias("user_degree_pareto_alpha"))
+    d = source_degrees(df).agg(F.count(F.lit(1)).alias("users"), F.sum(F.ln("tx_count")).alias("sum_ln"))
+    return d.select("users", F.when(F.col("sum_ln") > 0, 1 + F.col("users") / F.col("sum_ln")).otherwise(0.0).alias("user_degree_pareto_alpha"))
 
 
-def degree_sketch(df: DataFrame, min_sample: int = 1_000_000) -> DataFrame:
-    """Distinct sources by a mergeable sketch beside the moments of their degrees; the exponent is 0 at a mean of 1 or less."""
+def degree_sketch(df: DataFrame) -> DataFrame:
+    """Distinct sources by a mergeable sketch beside the moments of all their degrees; the exponent is 0 at a mean of 1 or less."""
     users = df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("source_id"), F.lit(14))).alias("approx_users"))
-    d = source_degrees(df).limit(min_sample).agg(F.count(F.lit(1)).alias("users"), F.avg("tx_count").alias("avg_degree"), F.stddev_samp("tx_count").alias("sd_degree"))
+    d = source_degrees(df).agg(F.count(F.lit(1)).alias("users"), F.avg("tx_count").alias("avg_degree"), F.stddev_samp("tx_count").alias("sd_degree"))
     return users.join(F.broadcast(d)).withColumn("user_degree_pareto_alpha", F.when(F.col("avg_degree") > 1, 1 + 1 / F.ln("avg_degree")).otherwise(0.0))
 
 
+def topology(df: DataFrame, method: str = "exact") -> DataFrame:
+    """The degree exponent from all degrees (`exact`) or from their mean beside a sketch (`hll`): an argument takes the place of a probe for an extension."""
+    if method not in ("exact", "hll"):
+        raise ValueError(f"no such method: {method}")
+    return (degree_sketch(df) if method == "hll" else degree_alpha(df)).select("user_degree_pareto_alpha", F.lit("hyperloglog" if method == "hll" else "sampling").alias("estimation_method"))
+
+
 def category_report(df: DataFrame, columns: tuple[str, ...], top: int, ratio: float) -> DataFrame:
     """One row: map of `table.column` to the values' shares as text, with the sampling note under `_metadata`."""
     out = None
@@ -100,27 +147,53 @@ def category_report(df: DataFrame, columns: tuple[str, ...], top: int, ratio: fl
 
 
 def profile_report(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
-    """The nested one-row profile document. Every step is a lazy frame in a named registry; one seeded sample feeds all of them."""
-    from .temporal import recent
+    """The nested one-row profile document. Every step is a lazy frame; one seeded sample feeds all of them.
+
+    Categories count all rows since the start, whatever their amount; the other steps take positive amounts. A step whose
+    query cannot be built, for want of a column say, gives `{"error": ..}` under its title and leaves its section out."""
+    from .temporal import recent, since
 
-    ratio = cfg.sample_fraction or 1.0
-    base = recent(df if cfg.sample_fraction is None else df.sample(fraction=cfg.sample_fraction, seed=cfg.seed), "created_on", cfg.window_start)
+    ratio, sampling = cfg.sample_fraction or 1.0, cfg.sample_fraction is not None
+    every = sampled(df, cfg.sample_fraction, cfg.seed)
+    base = lambda: recent(every, "created_on", cfg.window_start)
+    stamp = F.lit(cfg.extracted_at) if cfg.extracted_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    one = df.sparkSession.range(0, 1, 1, 1)
     steps: dict[str, Callable[[], DataFrame]] = {
-        "metadata": lambda: base.sparkSession.range(0, 1, 1, 1).select(F.struct(F.lit(cfg.window_start).alias("window_start"), F.lit(ratio < 1).alias("sampling_used"), F.lit(ratio).alias("sample_ratio")).alias("metadata")),
-        "temporal_heatmap": lambda: packed_heatmap(heatmap(base, cfg.timezone)).select(F.struct("heatmap", F.lit(0.01 if ratio < 1 else 0.0).alias("sampling_error"), F.lit(0.99 if ratio < 1 else 1.0).alias("confidence_level")).alias("temporal_heatmap")),
-        "categorical_weights": lambda: category_report(base, cfg.categories, cfg.top, ratio),
-        "monetary_distribution": lambda: pareto_fit(tail_stats(tail(base))).select(F.struct("pareto_alpha", "alpha_ci_lower", "alpha_ci_upper", F.col("threshold").alias("tail_threshold"), F.col("tail_count").alias("tail_count_approx"), F.struct("min", "max", "mean").alias("tail_statistics")).alias("monetary_distribution")),
-        "graph_topology": lambda: degree_alpha(base).select(F.struct("user_degree_pareto_alpha", F.lit("exact" if ratio == 1 else "sampling").alias("estimation_method")).alias("graph_topology")),
+        "metadata": lambda: one.select(F.struct(stamp.alias("extraction_timestamp"), F.lit(cfg.window_days).alias("window_days"), F.lit(sampling).alias("sampling_used"), F.lit(ratio).alias("sample_ratio"))),
+        "temporal_heatmap": lambda: packed_heatmap(heatmap(base(), cfg.timezone)).select(F.struct("heatmap", F.lit(0.01 if sampling else 0.0).alias("sampling_error"), F.lit(0.99 if sampling else 1.0).alias("confidence_level"))),
+        "categorical_weights": lambda: category_report(every.where(since(every, "created_on", cfg.window_start)), cfg.categories, cfg.top, ratio),
+        "monetary_distribution": lambda: pareto_fit(tail_stats(tail(base()))).select(F.struct("pareto_alpha", "alpha_ci_lower", "alpha_ci_upper", F.col("threshold").alias("tail_threshold"), F.col("tail_count").alias("tail_count_approx"), F.col("tail_count").alias("reservoir_samples"), F.struct("min", "max", "mean").alias("tail_statistics"))),
+        "graph_topology": lambda: topology(base(), cfg.method).select(F.struct("user_degree_pareto_alpha", "estimation_method", F.lit("high" if sampling else "exact").alias("confidence"), F.lit(0.01 if sampling else 0.0).alias("sampling_error_margin"))),
     }
     out = None
-    for step in steps.values():
-        out = step() if out is None else out.join(F.broadcast(step()))
+    for name, step in steps.items():
+        try:
+            part = step()
+        except AnalysisException as e:
+            part, name = one.select(F.struct(F.lit(str(e)).alias("error"))), TITLES[name].lower().replace(" ", "_")
+        part = part.toDF(name)
+        out = part if out is None else out.join(F.broadcast(part))
     return out
 
 
-def sampling_error(n: int, p: float = 0.5) -> float:
-    """Binomial standard error of a share."""
-    return (p * (1 - p) / n) ** 0.5 if n else 0.0
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Window",)]
+def flat_report(report: DataFrame, categories: tuple[str, ...] = ("is_obsolete", "purpose")) -> DataFrame:
+    """(section, field, value, text) of a report without errors: numbers to six decimals, words as text."""
+    def rows(section: str, *fields):
+        return [F.struct(F.lit(section).alias("section"), F.lit(n).alias("field"), F.round(v.cast("double"), 6).alias("value") if not text else F.lit(None).cast("double").alias("value"), (v.cast("string") if text else F.lit(None).cast("string")).alias("text")) for n, v, text in fields]
+
+    c = F.col
+    plain = [
+        *rows("metadata", *[(n, c(f"metadata.{n}"), t) for n, t in (("extraction_timestamp", True), ("window_days", False), ("sampling_used", False), ("sample_ratio", False))]),
+        *rows("temporal_heatmap", ("sampling_error", c("temporal_heatmap.sampling_error"), False), ("confidence_level", c("temporal_heatmap.confidence_level"), False)),
+        *rows("monetary_distribution", *[(n, c(f"monetary_distribution.{n}"), False) for n in ("pareto_alpha", "alpha_ci_lower", "alpha_ci_upper", "tail_threshold", "tail_count_approx", "reservoir_samples", "tail_statistics.min", "tail_statistics.max", "tail_statistics.mean")]),
+        *rows("graph_topology", ("user_degree_pareto_alpha", c("graph_topology.user_degree_pareto_alpha"), False), ("estimation_method", c("graph_topology.estimation_method"), True), ("confidence", c("graph_topology.confidence"), True), ("sampling_error_margin", c("graph_topology.sampling_error_margin"), False)),
+    ]
+    out = report.select(F.explode(F.array(*plain)).alias("r")).select("r.*")
+    cells = report.select(F.posexplode("temporal_heatmap.heatmap").alias("hour", "days")).select("hour", F.posexplode("days").alias("dow", "volume"))
+    out = out.unionByName(cells.select(F.lit("temporal_heatmap").alias("section"), F.concat_ws("/", F.col("hour").cast("string"), F.col("dow").cast("string")).alias("field"), F.col("volume").cast("double").alias("value"), F.lit(None).cast("string").alias("text")))
+    for name in categories:
+        key = f"gateway_transaction.{name}"
+        entries = report.select(F.explode(F.col("categorical_weights")[key]).alias("k", "v"))
+        each = entries.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{name}/"), "k", F.lit(f"/{f}")).alias("field"), F.round(F.col(f"v.{f}").cast("double"), 6).alias("value")) for f in ("prob", "volume", "relative_error", "sampling_ratio", "total_sample_size")])).alias("r")).where("r.value is not null")
+        out = out.unionByName(each.select(F.lit("categorical_weights").alias("section"), "r.field", "r.value", F.lit(None).cast("string").alias("text")))
+    return out

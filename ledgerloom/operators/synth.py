@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import cents, category_weights, pareto_inverse, weighted_choice
+from ..functions import category_weights, cents, draw, pareto_inverse, weighted_choice
 from ..schema import SynthConfig
 from ..sources import ticks, user_id
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A draw in [0, 1) fixed by seed and row keys, so retries and repartitioning repeat it."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(2**53))
-
-
 def tick_intensity(heat: DataFrame, cfg: SynthConfig, spark: SparkSession, tz: str = "UTC") -> DataFrame:
     """Expected transactions a minute from the cell's share of the heatmap; calibrated so that whole weeks add up to users * 3 * days."""
     total = heat.agg(F.sum("volume").alias("total"))
@@ -28,12 +23,12 @@ def tick_intensity(heat: DataFrame, cfg: SynthConfig, spark: SparkSession, tz: s
 
 
 def sample_amounts(df: DataFrame, minimum: float, alpha: float, seed: int, key: str) -> DataFrame:
-    return df.withColumn("amount", cents(pareto_inverse(uniform(seed, F.col(key)), F.lit(minimum), F.lit(alpha))))
+    return df.withColumn("amount", cents(pareto_inverse(draw(seed, F.col(key)), F.lit(minimum), F.lit(alpha))))
 
 
 def pareto_degrees(users: DataFrame, alpha: float, total: int, seed: int) -> DataFrame:
     """Activity of each user, at most a tenth of all transactions."""
-    return users.withColumn("num_txns", F.least(F.round(F.pow(1 / (1 - uniform(seed, F.col("user_index"))), 1 / alpha)), F.lit(float(total // 10))).cast("long"))
+    return users.withColumn("num_txns", F.least(F.round(F.pow(1 / (1 - draw(seed, F.col("user_index"))), 1 / alpha)), F.lit(float(total // 10))).cast("long"))
 
 
 def choose(df: DataFrame, out: str, weights: dict[str, float], seed: int, *keys: str) -> DataFrame:
@@ -44,40 +39,41 @@ def choose(df: DataFrame, out: str, weights: dict[str, float], seed: int, *keys:
     for v in values:
         acc += weights[v]
         cdf.append(acc)
-    return df.withColumn(out, weighted_choice(uniform(seed, *[F.col(k) for k in keys]), F.array(*map(F.lit, values)), F.array(*map(F.lit, cdf))))
+    return df.withColumn(out, weighted_choice(draw(seed, *[F.col(k) for k in keys]), F.array(*map(F.lit, values)), F.array(*map(F.lit, cdf))))
 
 
 def destinations(source: Column, cfg: SynthConfig, *keys: Column) -> Column:
-    """Mostly a user of the source's own block of `cluster` users, else any; a payment to oneself goes to the next user."""
+    """Mostly a user of the source's own block of `cluster` users, always where there is only one block, else any; a payment to oneself goes to the next user."""
     n = cfg.num_users
     block = F.floor(source / cfg.cluster) * cfg.cluster
-    near = (block + F.floor(uniform(cfg.seed + 5, *keys) * cfg.cluster)) % n
-    far = F.floor(uniform(cfg.seed + 6, *keys) * n)
-    d = F.when(uniform(cfg.seed + 4, *keys) < cfg.in_cluster, near).otherwise(far)
+    near = (block + F.floor(draw(cfg.seed + 5, *keys) * cfg.cluster)) % n
+    far = F.floor(draw(cfg.seed + 6, *keys) * n)
+    d = near if n <= cfg.cluster else F.when(draw(cfg.seed + 4, *keys) < cfg.in_cluster, near).otherwise(far)
     return F.when(d == source, (d + 1) % n).otherwise(d).cast("long")
 
 
-def number_rows(df: DataFrame, *order: str) -> DataFrame:
-    """Dense ids in (tick, sequence) order: counts a day give each day its offset, so no window spans the whole table."""
+def first_numbers(ticks_: DataFrame) -> DataFrame:
+    """ticks_(tick, n) plus `first`: transactions before each minute. Days are summed apart, so no window spans more than the days or a day's minutes, and ledger rows need none."""
     day = F.floor(F.col("tick") / 1440)
-    df = df.withColumn("_day", day)
-    counts = df.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("_day").orderBy(*order)) - 1 + F.col("_off")
-    return df.join(F.broadcast(offsets.select("_day", "_off")), "_day").withColumn("txn_id", F.format_string("TXN_%010d", n.cast("long"))).drop("_day", "_off")
+    t = ticks_.withColumn("_day", day)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    days = t.groupBy("_day").agg(F.sum("n").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before(Window.orderBy("_day"))), F.lit(0)))
+    within = F.coalesce(F.sum("n").over(before(Window.partitionBy("_day").orderBy("tick"))), F.lit(0))
+    return t.withColumn("first", within).join(F.broadcast(days.select("_day", "_off")), "_day").withColumn("first", F.col("first") + F.col("_off")).drop("_day", "_off")
 
 
 def synthesize(spark: SparkSession, heat: DataFrame, cfg: SynthConfig, *, minimum: float, alpha: float, status: dict[str, float], purpose: dict[str, float], tz: str = "UTC") -> DataFrame:
     """The ledger: minutes with floor(lambda) transactions and one more by chance, then seeded draws for every column."""
     lam = tick_intensity(heat, cfg, spark, tz)
     whole = F.floor("lam")
-    n = whole + (uniform(cfg.seed, F.col("tick")) < F.col("lam") - whole).cast("long")
-    rows = lam.withColumn("n", n).where("n > 0").select("tick", "txn_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("seq"))
+    n = whole + (draw(cfg.seed, F.col("tick")) < F.col("lam") - whole).cast("long")
+    rows = first_numbers(lam.withColumn("n", n)).where("n > 0").select("tick", "txn_time", "first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("seq"))
     keys = [F.col("tick"), F.col("seq")]
-    rows = rows.withColumn("src", F.floor(uniform(cfg.seed + 1, *keys) * cfg.num_users))
-    rows = rows.withColumn("dst", destinations(F.col("src"), cfg, *keys)).withColumn("amount", cents(pareto_inverse(uniform(cfg.seed + 2, *keys), F.lit(minimum), F.lit(alpha))))
+    rows = rows.withColumn("src", F.floor(draw(cfg.seed + 1, *keys) * cfg.num_users))
+    rows = rows.withColumn("dst", destinations(F.col("src"), cfg, *keys)).withColumn("amount", cents(pareto_inverse(draw(cfg.seed + 2, *keys), F.lit(minimum), F.lit(alpha))))
     rows = choose(choose(rows, "status", status, cfg.seed + 7, "tick", "seq"), "purpose", purpose, cfg.seed + 8, "tick", "seq")
-    return number_rows(rows, "tick", "seq").select("txn_id", "txn_time", "amount", user_id(F.col("src")).alias("source_id"), user_id(F.col("dst")).alias("destination_id"), F.expr("try_cast(status AS boolean)").alias("status"), "purpose")
+    txn_id = F.format_string("TXN_%010d", (F.col("first") + F.col("seq") - 1).cast("long")).alias("txn_id")
+    return rows.select(txn_id, "txn_time", "amount", user_id(F.col("src")).alias("source_id"), user_id(F.col("dst")).alias("destination_id"), F.expr("try_cast(status AS boolean)").alias("status"), "purpose")
 
 
 def from_profile(spark: SparkSession, profile: DataFrame, cfg: SynthConfig) -> DataFrame:

@@ -17,9 +17,13 @@ def preprocess(df: DataFrame, lenient: bool = False) -> DataFrame:
     return df.withColumns({"txn_time": F.to_timestamp("txn_time"), "purpose": F.coalesce("purpose", F.lit("Unknown")), "status_int": status})
 
 
+def since(df: DataFrame, time: str, start: str | Column) -> Column:
+    return F.col(time) >= F.lit(start).cast("timestamp_ntz" if dict(df.dtypes)[time] == "timestamp_ntz" else "timestamp")
+
+
 def recent(df: DataFrame, time: str, start: str | Column, amount: str = "amount") -> DataFrame:
     """Positive amounts since `start`."""
-    return df.where((F.col(time) >= F.lit(start).cast("timestamp_ntz" if dict(df.dtypes)[time] == "timestamp_ntz" else "timestamp")) & (F.col(amount) > 0))
+    return df.where(since(df, time, start) & (F.col(amount) > 0))
 
 
 def _frame(w: int):
@@ -46,11 +50,26 @@ def window_feature(base: str, w: int) -> Column:
     }[base]()
 
 
-def temporal_features(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str, ...] = BASE_FEATURES) -> DataFrame:
-    """df plus `{base}_{w}` columns. The entropies share one collected frame of the longest window, cut per w."""
+def domain(df: DataFrame, column: str = "purpose", most: int = 16) -> list | None:
+    """The values of a column if there are at most `most`, else None."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    return sorted(v for v in found if v is not None) if len(found) <= most and None not in found else None
+
+
+def temporal_features(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str, ...] = BASE_FEATURES, purposes: list | None = None) -> DataFrame:
+    """df plus `{base}_{w}` columns.
+
+    Entropies are sums per purpose over the same frames where the set of purposes is small: `purposes` gives it, or it is read
+    off df. Beyond that they share one collected frame of the longest window, cut per w."""
     plain = {f"{b}_{w}": window_feature(b, w) for b in bases if b != "TradingEntropyT" for w in windows}
     if "TradingEntropyT" not in bases:
         return df.withColumns(plain)
+    if known := purposes or domain(df):
+        own = df.columns
+        for w in windows:
+            df = entropy_sums(df, w, known)
+        out = df.withColumns(plain | {f"_n{w}": F.count(F.lit(1)).over(_frame(w)) for w in windows})
+        return out.select(*own, *plain, *[entropy_from_sums(w, known).alias(f"TradingEntropyT_{w}") for w in windows])
     items = F.collect_list(F.struct("purpose", "amount")).over(_frame(max(windows)))
     out = df.withColumns(plain | {"_items": items})
     return out.withColumns({f"TradingEntropyT_{w}": _entropy_change(w) for w in windows}).drop("_items")
@@ -64,20 +83,29 @@ def _entropy_change(w: int) -> Column:
 
 
 def entropy_by_domain(df: DataFrame, w: int, purposes: list[str]) -> DataFrame:
-    """TradingEntropyT_w by conditional running sums, for a small known set of purposes that covers the column: no arrays."""
+    """TradingEntropyT_w by conditional sums, for a small known set of purposes that covers the column: no arrays."""
+    own = df.columns
+    df = entropy_sums(df, w, purposes).withColumn(f"_n{w}", F.count(F.lit(1)).over(_frame(w)))
+    return df.select(*own, entropy_from_sums(w, purposes).alias(f"TradingEntropyT_{w}"))
+
+
+def entropy_sums(df: DataFrame, w: int, purposes: list[str]) -> DataFrame:
+    """df plus `_s{w}_{i}`: the frame's amount under each purpose."""
     f = _frame(w)
-    sums = [F.coalesce(F.sum(F.when(F.col("purpose") == p, F.col("amount"))).over(f), F.lit(0.0)) for p in purposes]
-    df = df.withColumns({f"_s{i}": s for i, s in enumerate(sums)})
+    return df.withColumns({f"_s{w}_{i}": F.coalesce(F.sum(F.when(F.col("purpose") == p, F.col("amount"))).over(f), F.lit(0.0)) for i, p in enumerate(purposes)})
+
+
+def entropy_from_sums(w: int, purposes: list[str]) -> Column:
+    """H(frame) - H(frame with the current row) from `_s{w}_{i}` and the frame's row count `_n{w}`."""
 
     def h(parts: list[Column]) -> Column:
         total = sum(parts, F.lit(0.0))
         q = sum((F.when(x > 0, x * F.ln(x)).otherwise(0.0) for x in parts), F.lit(0.0))
         return F.when(total > 0, F.ln(total) - q / total).otherwise(0.0)
 
-    before = [F.col(f"_s{i}") for i in range(len(purposes))]
+    before = [F.col(f"_s{w}_{i}") for i in range(len(purposes))]
     after = [b + F.when(F.col("purpose") == p, F.col("amount")).otherwise(0.0) for b, p in zip(before, purposes, strict=True)]
-    n = F.count(F.lit(1)).over(f)
-    return df.withColumn("_n", n).withColumn(f"TradingEntropyT_{w}", F.when(F.col("_n") > 0, h(before) - h(after)).otherwise(0.0)).drop("_n", *[f"_s{i}" for i in range(len(purposes))])
+    return F.when(F.col(f"_n{w}") > 0, h(before) - h(after)).otherwise(0.0)
 
 
 def tensor(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str, ...] = BASE_FEATURES, compat: bool = False) -> DataFrame:
@@ -86,4 +114,4 @@ def tensor(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str,
     return df.select("txn_id", "txn_time", F.array(*(planes * (3 if compat else 1))).alias("tensor"), F.col("status_int").alias("label"))
 
 
-__all__ = ["preprocess", "recent", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]
+__all__ = ["preprocess", "since", "recent", "domain", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]

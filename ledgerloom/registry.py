@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
+from . import plans
 from .operators import asof, graph, profile, synth, temporal
-from .runtime import table
-from .schema import BASE_FEATURES, WINDOWS, SynthConfig
-from .sources import events_gateway, events_ledger, orders_ledger, sample_size, ticks, users
+from .runtime import scratch, table
+from .schema import BASE_FEATURES, WINDOWS, ProfileConfig, SynthConfig
+from .sources import events_gateway, events_ledger, orders_ledger, read_ledger_csv, read_profile, sample_size, sampled, sinks, ticks, users
 
 TZ, START = "Asia/Kathmandu", "2024-01-16"
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def draw_sql(seed: int, *keys: str) -> str:
+    """functions.draw in SQL; keys must not be null."""
+    return f"(('0x' || substr(md5('{seed}/' || {" || '/' || ".join(f'CAST({k} AS VARCHAR)' for k in keys)}), 1, 13))::BIGINT / {float(16**13)})"
+
+
 def r6(*names: str):
     return [fn.r6(F.col(c)).alias(c) for c in names]
 
@@ -50,9 +56,19 @@ def _(s, d):
     return s.range(1).select(F.lit(sample_size(n, 0.01, 1000)).cast("long").alias("n"))
 
 
-@query("src5_sampled_scan")
+@query("src5_sampled_scan", f"SELECT ts AS created_on, value AS amount, event_id % 10 = 0 AS is_obsolete, event_type AS purpose, user_id AS source_id FROM events WHERE {draw_sql(42, 'event_id')} < 0.1")
+def _(s, d):
+    kept = sampled(table(s, d, "events"), 0.1, 42, "event_id")
+    return kept.select(F.col("ts").alias("created_on"), F.col("value").alias("amount"), (F.col("event_id") % 10 == 0).alias("is_obsolete"), F.col("event_type").alias("purpose"), F.col("user_id").alias("source_id"))
+
+
+@query("src2_csv_round_trip", "SELECT printf('TXN_%010d', event_id) AS txn_id, ts AS txn_time, value AS amount, printf('u_%06d', user_id) AS source_id, printf('u_%06d', CAST(json_extract_string(props,'$.k') AS BIGINT)) AS destination_id, event_id % 3 = 0 AS status, CASE WHEN event_type <> 'view' THEN event_type END AS purpose FROM events")
 def _(s, d):
-    return events_gateway(s, d).sample(fraction=0.1, seed=42)
+    ledger = events_ledger(s, d)
+    user = lambda c: F.format_string("u_%06d", c).alias(c)
+    path = scratch(s, "ledger")
+    sinks.write_csv(ledger.select(F.format_string("TXN_%010d", "txn_id").alias("txn_id"), F.col("txn_time").cast("timestamp").alias("txn_time"), "amount", user("source_id"), user("destination_id"), (F.col("status_int") == 1).alias("status"), "purpose"), path)
+    return read_ledger_csv(s, path, null_tokens=("view",)).withColumn("txn_time", F.col("txn_time").cast("timestamp_ntz"))
 
 
 @query("src9_ticks", "SELECT CAST(range AS BIGINT) AS tick, CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(range AS INT)) AS TIMESTAMP) AS txn_time FROM range(4320)")
@@ -161,10 +177,18 @@ def temporal_all(s, d):
     return out.withColumns(done)
 
 
-@query("u8_tensor", f"WITH {LEDGER_SQL} SELECT txn_id, [" + ", ".join("[" + ", ".join(f"CAST({_WINDOW_SQL[b](w)} AS DOUBLE)" for w in WINDOWS) + "]" for b in ("NumberT", "UniqueStatusT")) + "] AS tensor, status_int AS label FROM ledger")
+_ALL_WINDOWS = f"SELECT l.*, x.* EXCLUDE (txn_id) FROM (SELECT *, {', '.join(_window_sql(b) for b in _EIGHT)} FROM ledger) l JOIN x USING (txn_id)"
+
+
+@query("u8_tensor", f"WITH {LEDGER_SQL}, x AS ({_entropy_sql(WINDOWS)}), w AS ({_ALL_WINDOWS}) SELECT txn_id, [" + ", ".join("[" + ", ".join(f"CAST({b}_{w} AS DOUBLE)" for w in WINDOWS) + "]" for b in BASE_FEATURES) + "] AS tensor, status_int AS label FROM w")
 def _(s, d):
-    bases = ("NumberT", "UniqueStatusT")
-    return temporal.tensor(temporal.temporal_features(events_ledger(s, d), WINDOWS, bases), WINDOWS, bases).drop("txn_time")
+    return temporal.tensor(temporal_all(s, d)).drop("txn_time")
+
+
+@query("p10_feature_names", "SELECT unnest([" + ", ".join(f"'{b}_{w}'" for b in BASE_FEATURES for w in WINDOWS) + "]) AS feature, split_part(feature, '_', 1) AS base, CAST(split_part(feature, '_', 2) AS INT) AS w")
+def _(s, d):
+    names = [c for c in temporal.temporal_features(events_ledger(s, d), purposes=["-"]).columns if any(c.startswith(b) for b in BASE_FEATURES)]
+    return s.createDataFrame([(c,) for c in names], "feature string").select("feature", F.split_part("feature", F.lit("_"), F.lit(1)).alias("base"), F.split_part("feature", F.lit("_"), F.lit(2)).cast("int").alias("w"))
 
 
 # --- as-of graph features
@@ -260,6 +284,10 @@ def _(s, d):
     return graph.histogram(graph.degrees(graph.edges(events_ledger(s, d))), "in_degree")
 
 
+def _hist_sql(measure: str, source: str) -> str:
+    return f"SELECT '{measure}' AS measure, CAST(least(49, floor((x - lo) / (hi - lo) * 50)) AS BIGINT) AS bin, count(*) AS n FROM (SELECT {measure}::DOUBLE AS x FROM {source}) CROSS JOIN (SELECT min({measure}) - CASE WHEN min({measure}) = max({measure}) THEN 0.5 ELSE 0 END AS lo, max({measure}) + CASE WHEN min({measure}) = max({measure}) THEN 0.5::DOUBLE ELSE 0 END AS hi FROM {source}) GROUP BY 2"
+
+
 @query("a17_edge_range", f"WITH {EDGE_SQL} SELECT round(coalesce(max(total_amount), 1), 6) + 0.0 AS mx, round(min(total_amount), 6) + 0.0 AS mn FROM e")
 def _(s, d):
     return graph.edges(events_ledger(s, d)).agg(fn.r6(F.coalesce(F.max("total_amount"), F.lit(1.0))).alias("mx"), fn.r6(F.min("total_amount")).alias("mn"))
@@ -298,6 +326,37 @@ def _(s, d):
     return graph.node_table(e, graph.pagerank(e, iterations=10)).select("id", (F.round("pagerank", 9) + F.lit(0.0)).alias("pagerank"), "in_degree", "out_degree", *r6("net_flow"))
 
 
+_COMPONENTS = "reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, e.destination_id FROM reach JOIN e ON reach.b = e.source_id), comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)"
+_NODE_TABLE = f"{PR_SQL}, {_DEG_CTE}, nt AS (SELECT id, round(r, 9) AS pagerank, in_degree, out_degree, round(net_flow, 6) AS net_flow FROM deg JOIN p10 USING (id))"
+
+
+@query("a16_histograms", f"WITH RECURSIVE {_NODE_TABLE}, {_COMPONENTS}, sz AS (SELECT count(*) AS component_size FROM comp GROUP BY component) " + " UNION ALL ".join([*[_hist_sql(m, "nt") for m in ("in_degree", "out_degree", "pagerank", "net_flow")], _hist_sql("component_size", "sz")]))
+def _(s, d):
+    e = graph.edges(events_ledger(s, d))
+    return graph.summary_histograms(e, graph.pagerank(e, iterations=10))
+
+
+_CLOSE = ", ".join(f"c{k} AS (SELECT {k} AS k, sum(abs(a.r - b.r)) AS change FROM p{k} a JOIN p{k - 1} b USING (id))" for k in range(1, 11))
+
+
+@query("g1_pagerank_converged", f"WITH {PR_SQL}, {_CLOSE}, stop AS (SELECT min(k) AS k FROM ({' UNION ALL '.join(f'FROM c{k}' for k in range(1, 11))}), nn WHERE change < n * 1e-6) SELECT id, round(r, 9) + 0.0 AS pagerank FROM ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM p{k}' for k in range(1, 11))}) JOIN stop USING (k)")
+def _(s, d):
+    return graph.pagerank(graph.edges(events_ledger(s, d))).select("id", (F.round("pagerank", 9) + F.lit(0.0)).alias("pagerank"))
+
+
+@query("viz_nodes", f"WITH {_NODE_TABLE}, s AS (SELECT min(pagerank) AS lo, max(pagerank) AS hi FROM nt) SELECT id, pagerank + 0.0 AS pagerank, round((pagerank - lo) / (hi - lo), 6) + 0.0 AS value, printf('rgba(255, %d, 0, 0.8)', greatest(0, trunc(255 * (1 - 10 * pagerank))::INT)) AS color, printf('Node: %d<br>PageRank: %.4f<br>Degree: %d/%d', id, pagerank, in_degree, out_degree) AS title FROM nt, s")
+def _(s, d):
+    e = graph.edges(events_ledger(s, d))
+    n = graph.node_table(e, graph.pagerank(e, iterations=10).withColumn("pagerank", F.round("pagerank", 9) + F.lit(0.0)))
+    return graph.visual_attributes(e, n)[1].select("id", "pagerank", *r6("value"), "color", "title")
+
+
+@query("viz_edge_titles", f"WITH {EDGE_SQL} SELECT source_id, destination_id, printf('Amount: %.2f<br>Count: %d', round(total_amount, 6), n) AS title FROM e")
+def _(s, d):
+    e = graph.edges(events_ledger(s, d)).withColumn("total_amount", fn.r6(F.col("total_amount")))
+    return graph.visual_attributes(e, graph.degrees(e).withColumn("pagerank", F.lit(0.0)))[0].select("source_id", "destination_id", "title")
+
+
 _CLOSURE = f"WITH RECURSIVE {NODE_SQL}, reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, e.destination_id FROM reach JOIN e ON reach.b = e.source_id), comp AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)"
 
 
@@ -317,22 +376,38 @@ def _(s, d):
     return graph.top_components(e, graph.scc(e)).select("source_id", "destination_id", *r6("total_amount"), "component", "size")
 
 
-@query("g7_top_pagerank_subgraph", f"WITH {PR_SQL}, keep AS (SELECT id FROM p10 ORDER BY round(r, 12) DESC, id LIMIT 50) SELECT source_id, destination_id, round(total_amount, 6) + 0.0 AS total_amount FROM e WHERE source_id IN (FROM keep) AND destination_id IN (FROM keep) ORDER BY e.total_amount DESC, source_id, destination_id LIMIT 100")
+@query("g7_top_pagerank_subgraph", f"WITH {PR_SQL}, keep AS (SELECT id FROM p10 ORDER BY round(r, 12) DESC, id LIMIT 200) SELECT source_id, destination_id, round(total_amount, 6) + 0.0 AS total_amount FROM e WHERE source_id IN (FROM keep) AND destination_id IN (FROM keep) ORDER BY e.total_amount DESC, source_id, destination_id LIMIT 500")
 def _(s, d):
     e = graph.edges(events_ledger(s, d))
     ranks = graph.pagerank(e, iterations=10).withColumn("pagerank", F.round("pagerank", 12))
-    return graph.top_subgraph(e, ranks, 50, 100).select("source_id", "destination_id", *r6("total_amount"))
+    return graph.top_subgraph(e, ranks).select("source_id", "destination_id", *r6("total_amount"))
 
 
-@query("g8_sampled_subgraph")
+@query("g8_sampled_subgraph", f"WITH {_DEG_SQL}, top AS (SELECT id FROM deg ORDER BY in_degree + out_degree DESC, id LIMIT 30), rest AS (SELECT id FROM deg WHERE id NOT IN (FROM top) ORDER BY {draw_sql(42, 'id')}, id LIMIT 30), keep AS (FROM top UNION FROM rest) SELECT source_id, destination_id, round(total_amount, 6) + 0.0 AS total_amount, n AS count FROM e WHERE source_id IN (FROM keep) AND destination_id IN (FROM keep)")
 def _(s, d):
     e = graph.edges(events_ledger(s, d))
-    return graph.induced(e, graph.sampled_nodes(e, 60, 42))
+    return graph.induced(e, graph.sampled_nodes(e, 60, 42)).select("source_id", "destination_id", *r6("total_amount"), "count")
 
 
-@query("g3_betweenness")
+# Distances in whole cents, so that equal paths are equal; min-plus squaring, then path counts by number of steps.
+_SQUARES, _STEPS = 6, 40
+_BETWEENNESS = ", ".join([
+    "c AS (SELECT source_id AS u, destination_id AS v, round(total_amount * 100)::BIGINT AS w FROM e WHERE source_id <> destination_id)",
+    "d0 AS MATERIALIZED (SELECT id AS s, id AS t, 0::BIGINT AS d FROM nodes UNION ALL FROM c)",
+    *[f"d{k} AS MATERIALIZED (SELECT a.s, b.t, min(a.d + b.d) AS d FROM d{k - 1} a JOIN d{k - 1} b ON a.t = b.s GROUP BY 1, 2)" for k in range(1, _SQUARES + 1)],
+    f"g AS MATERIALIZED (SELECT x.s, c.u, c.v FROM d{_SQUARES} x JOIN c ON c.u = x.t JOIN d{_SQUARES} y ON y.s = x.s AND y.t = c.v WHERE x.d + c.w = y.d)",
+    "h0 AS (SELECT id AS s, id AS t, 1::DOUBLE AS n FROM nodes)",
+    *[f"h{k} AS MATERIALIZED (SELECT g.s, g.v AS t, sum(h.n) AS n FROM h{k - 1} h JOIN g ON g.s = h.s AND g.u = h.t GROUP BY 1, 2)" for k in range(1, _STEPS + 1)],
+    f"ways AS MATERIALIZED (SELECT s, t, sum(n) AS n FROM ({' UNION ALL '.join(f'FROM h{k}' for k in range(_STEPS + 1))}) GROUP BY 1, 2)",
+    f"far AS MATERIALIZED (SELECT s, t, d, n FROM d{_SQUARES} JOIN ways USING (s, t))",
+    "through AS (SELECT a.t AS id, sum(a.n * b.n / y.n) AS x FROM far a JOIN far b ON a.t = b.s JOIN far y ON y.s = a.s AND y.t = b.t AND y.d = a.d + b.d WHERE a.s <> a.t AND b.s <> b.t AND a.s <> b.t GROUP BY 1)",
+])
+
+
+@query("g3_betweenness", f"WITH {NODE_SQL}, {_BETWEENNESS} SELECT id, round(coalesce(x, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 9) + 0.0 AS betweenness FROM nodes LEFT JOIN through USING (id)")
 def _(s, d):
-    return graph.betweenness(graph.edges(events_ledger(s, d)))
+    e = graph.edges(events_ledger(s, d)).withColumn("total_amount", F.round(F.col("total_amount") * 100))
+    return graph.betweenness(e).select("id", (F.round("betweenness", 9) + F.lit(0.0)).alias("betweenness"))
 
 
 @query("viz_edge_widths", f"WITH {EDGE_SQL}, m AS (SELECT max(total_amount) mx FROM e) SELECT source_id, destination_id, round(1 + 5 * ln(1 + total_amount) / ln(1 + mx), 6) + 0.0 AS width, round(0.5 + 2 * ln(1 + total_amount) / ln(1 + mx), 6) + 0.0 AS thin_width FROM e, m")
@@ -341,10 +416,10 @@ def _(s, d):
     return graph.visual_attributes(e, graph.degrees(e).withColumn("pagerank", F.lit(0.0)))[0].select("source_id", "destination_id", *r6("width", "thin_width"))
 
 
-@query("j8_induced", f"WITH {EDGE_SQL} SELECT source_id, destination_id, n AS count FROM e WHERE source_id < 40 AND destination_id < 40")
+@query("j8_induced", f"WITH {_DEG_SQL}, k AS (SELECT id FROM deg WHERE round(net_flow, 6) > 0) SELECT source_id, destination_id, n AS count FROM e WHERE source_id IN (FROM k) AND destination_id IN (FROM k)")
 def _(s, d):
     e = graph.edges(events_ledger(s, d))
-    return graph.induced(e, graph.nodes(e).where("id < 40")).select("source_id", "destination_id", "count")
+    return graph.induced(e, graph.degrees(e).where(F.round("net_flow", 6) > 0)).select("source_id", "destination_id", "count")
 
 
 @query("j9_anti", f"WITH {_DEG_SQL} SELECT id FROM deg WHERE id NOT IN (SELECT id FROM deg ORDER BY in_degree + out_degree DESC, id LIMIT 20)")
@@ -358,10 +433,10 @@ def _(s, d):
     return asof.first_contact(events_ledger(s, d)).select("txn_id", (F.col("new_edge") == 0).alias("seen"))
 
 
-@query("u2_union", f"WITH {EDGE_SQL} (SELECT source_id AS id FROM e WHERE source_id % 2 = 0) UNION (SELECT destination_id FROM e WHERE destination_id % 3 = 0)")
+@query("u2_union", f"WITH {EDGE_SQL} (SELECT source_id AS id, 'source' AS role FROM e) UNION (SELECT destination_id, 'destination' FROM e)")
 def _(s, d):
     e = graph.edges(events_ledger(s, d))
-    return e.where("source_id % 2 = 0").select(F.col("source_id").alias("id")).union(e.where("destination_id % 3 = 0").select("destination_id")).distinct()
+    return e.select(F.col("source_id").alias("id"), F.lit("source").alias("role")).union(e.select("destination_id", F.lit("destination"))).distinct()
 
 
 @query("u4_nodes", f"WITH {NODE_SQL} SELECT id FROM nodes")
@@ -444,9 +519,16 @@ def _(s, d):
     return profile.degree_alpha(events_gateway(s, d)).select("users", *r6("user_degree_pareto_alpha"))
 
 
-@query("a10_hll_users")
+@query("a10_hll_users", f"WITH {_DEGREE_SQL} SELECT count(*) AS users, round(avg(c), 6) + 0.0 AS avg_degree, round(stddev_samp(c), 6) + 0.0 AS sd_degree, round(1 + 1 / ln(avg(c)), 6) AS user_degree_pareto_alpha, true AS sketch_within_3_percent FROM u")
+def _(s, d):
+    near = (F.abs(F.col("approx_users") - F.col("users")) <= 0.03 * F.col("users")).alias("sketch_within_3_percent")
+    return profile.degree_sketch(events_gateway(s, d)).select("users", *r6("avg_degree", "sd_degree", "user_degree_pareto_alpha"), near)
+
+
+@query("src8_topology_methods", f"WITH {_DEGREE_SQL} SELECT 'hyperloglog' AS estimation_method, round(1 + 1 / ln(avg(c)), 6) AS user_degree_pareto_alpha FROM u UNION ALL SELECT 'sampling', round(1 + count(*) / sum(ln(c)), 6) FROM u")
 def _(s, d):
-    return profile.degree_sketch(events_gateway(s, d))
+    g = events_gateway(s, d)
+    return profile.topology(g, "hll").unionByName(profile.topology(g)).select("estimation_method", *r6("user_degree_pareto_alpha"))
 
 
 @query("a11_count", f"WITH {GATE_SQL} SELECT count(*) AS n FROM gate WHERE created_on >= TIMESTAMP '{START}' AND amount > 0")
@@ -454,11 +536,53 @@ def _(s, d):
     return temporal.recent(events_gateway(s, d), "created_on", START).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("profile_report")
+_REPORT = ProfileConfig(window_start=START, extracted_at="2024-01-30T00:00:00Z")
+
+
+def _category_sql(column: str, shown: str) -> str:
+    fields = " UNION ALL ".join(f"SELECT '{column}/' || k || '/{f}' AS field, {v} AS value FROM {column}_" for f, v in (("prob", "round(prob, 6)"), ("volume", "volume::DOUBLE"), ("relative_error", "round(relative_error, 4)")))
+    return f"""{column}_ AS (SELECT {shown} AS k, volume, volume / sum(volume) OVER () AS prob, coalesce(stddev_samp(volume) OVER () / volume, 0) AS relative_error FROM (SELECT {column}, count(*) AS volume FROM gate WHERE created_on >= TIMESTAMP '{START}' AND {column} IS NOT NULL GROUP BY 1) ORDER BY volume DESC, k LIMIT 10),
+    {column}_r AS ({fields} UNION ALL SELECT '{column}/_metadata/sampling_ratio', 1.0 UNION ALL SELECT '{column}/_metadata/total_sample_size', sum(volume)::DOUBLE FROM {column}_)"""
+
+
+_REPORT_SQL = f"""WITH {_TAIL_SQL}, h AS (SELECT CAST(extract(hour FROM t) AS INT) AS hour, CAST(extract(dow FROM t) AS INT) AS dow, count(*) AS volume FROM (SELECT created_on + INTERVAL '5 hours 45 minutes' AS t FROM g) GROUP BY 1, 2),
+    u AS (SELECT source_id, count(*) c FROM g GROUP BY 1), {_category_sql('is_obsolete', "CASE WHEN is_obsolete THEN 'True' ELSE 'False' END")}, {_category_sql('purpose', 'purpose')}
+    SELECT 'temporal_heatmap' AS section, a.range || '/' || b.range AS field, coalesce(volume, 0)::DOUBLE AS value, NULL::VARCHAR AS text FROM range(24) a, range(7) b LEFT JOIN h ON h.hour = a.range AND h.dow = b.range
+    UNION ALL SELECT 'categorical_weights', field, value + 0.0, NULL FROM (FROM is_obsolete_r UNION ALL FROM purpose_r)
+    UNION ALL SELECT 'monetary_distribution', unnest(['pareto_alpha', 'alpha_ci_lower', 'alpha_ci_upper', 'tail_threshold', 'tail_count_approx', 'reservoir_samples', 'tail_statistics.min', 'tail_statistics.max', 'tail_statistics.mean']),
+      round(unnest([1 + n / sum_ln, (1 + n / sum_ln) * (1 - 1.96 / sqrt(n)), (1 + n / sum_ln) * (1 + 1.96 / sqrt(n)), th, n, n, mn, mx, mean]), 6) + 0.0, NULL FROM ts_
+    UNION ALL SELECT 'graph_topology', 'user_degree_pareto_alpha', round(1 + count(*) / sum(ln(c)), 6), NULL FROM u
+    UNION ALL FROM (VALUES ('metadata', 'extraction_timestamp', NULL::DOUBLE, '2024-01-30T00:00:00Z'), ('metadata', 'window_days', 14.0, NULL), ('metadata', 'sampling_used', 0.0, NULL), ('metadata', 'sample_ratio', 1.0, NULL), ('temporal_heatmap', 'sampling_error', 0.0, NULL), ('temporal_heatmap', 'confidence_level', 1.0, NULL),
+      ('graph_topology', 'estimation_method', NULL, 'sampling'), ('graph_topology', 'confidence', NULL, 'exact'), ('graph_topology', 'sampling_error_margin', 0.0, NULL))"""
+
+
+@query("profile_report", _REPORT_SQL)
+def _(s, d):
+    return profile.flat_report(profile.profile_report(events_gateway(s, d), _REPORT))
+
+
+@query("src4_profile_weights", f"WITH {GATE_SQL}, {_category_sql('is_obsolete', 'is_obsolete::VARCHAR')}, {_category_sql('purpose', 'purpose')} SELECT 'is_obsolete' AS category, CASE k WHEN 'true' THEN 'True' ELSE 'False' END AS value, greatest(round(prob, 6), 0.0001) + 0.0 AS weight FROM is_obsolete_ UNION ALL SELECT 'purpose', k, greatest(round(prob, 6), 0.0001) + 0.0 FROM purpose_ UNION ALL SELECT 'absent', 'unknown', 1.0")
 def _(s, d):
-    from .schema import ProfileConfig
+    path = scratch(s, "profile")
+    sinks.write_report(profile.profile_report(events_gateway(s, d), _REPORT), path)
+    weights = read_profile(s, path).select(F.explode(F.create_map(*[x for c in ("is_obsolete", "purpose", "absent") for x in (F.lit(c), fn.category_weights(F.col("categorical_weights")[f"gateway_transaction.{c}"]))])).alias("category", "w"))
+    return weights.select("category", F.explode("w").alias("value", "weight"))
 
-    return profile.profile_report(events_gateway(s, d), ProfileConfig(window_start=START)).select(F.to_json(F.struct("*")).alias("report"))
+
+@query("s4_heatmap_ordered", f"WITH {GATE_SQL}, {_HEAT_SQL} SELECT row_number() OVER (ORDER BY hour, dow) AS place, * FROM h")
+def _(s, d):
+    h = profile.heatmap(events_gateway(s, d), TZ).orderBy("hour", "dow")  # at most 168 rows
+    return h.agg(F.collect_list(F.struct("hour", "dow", "volume")).alias("rows")).select(F.posexplode("rows").alias("p", "r")).select((F.col("p") + 1).cast("long").alias("place"), "r.*")
+
+
+@query("s6_limit_before_agg", f"WITH {LEDGER_SQL}, c AS (SELECT purpose AS value, count(*) AS volume FROM (FROM ledger ORDER BY txn_time, txn_id LIMIT 5000) GROUP BY 1) SELECT 'purpose' AS \"column\", value, round(volume / sum(volume) OVER (), 6) + 0.0 AS prob, volume, round(coalesce(stddev_samp(volume) OVER () / volume, 0), 6) + 0.0 AS relative_error FROM c ORDER BY volume DESC, value LIMIT 10")
+def _(s, d):
+    return profile.categorical(events_ledger(s, d).orderBy("txn_time", "txn_id"), "purpose", min_sample=5000).select("column", "value", *r6("prob"), "volume", *r6("relative_error"))
+
+
+@query("s10_preview", f"WITH {LEDGER_SQL} FROM ledger ORDER BY txn_time, txn_id LIMIT 10")
+def _(s, d):
+    return events_ledger(s, d).orderBy("txn_time", "txn_id").limit(10)
 
 
 # --- sorts, samples
@@ -477,9 +601,9 @@ def _(s, d):
     return events_ledger(s, d).orderBy("txn_time", "txn_id").select("txn_id", "txn_time")
 
 
-@query("s7_random_topk")
+@query("s7_random_topk", f"WITH {LEDGER_SQL} FROM ledger ORDER BY {draw_sql(42, 'txn_id')}, txn_id LIMIT 100")
 def _(s, d):
-    return profile.reservoir(events_gateway(s, d), 100, 42)
+    return profile.reservoir(events_ledger(s, d), 100, 42, "txn_id")
 
 
 # --- scalar functions
@@ -499,19 +623,30 @@ def _(s, d):
 
 
 # --- synthesis
-@query("r1_pareto_amounts")
+@query("r1_pareto_amounts", f"SELECT event_id AS txn_id, round(100.0 * pow(1 - {draw_sql(42, 'event_id')}, -1 / 2.5::DOUBLE) * 100) / 100 AS amount FROM events")
 def _(s, d):
     return synth.sample_amounts(events_ledger(s, d).select("txn_id"), 100.0, 2.5, 42, "txn_id")
 
 
-@query("r2_pareto_degrees")
+@query("r2_pareto_degrees", f"SELECT CAST(range AS BIGINT) AS user_index, printf('u_%06d', range) AS user_id, CAST(range // 100 AS BIGINT) AS cluster_id, CAST(least(round(pow(1 / (1 - {draw_sql(42, 'range')}), {1 / 1.8!r}::DOUBLE)), 9000) AS BIGINT) AS num_txns FROM range(1000)")
 def _(s, d):
     return synth.pareto_degrees(users(s, 1000), 1.8, 90_000, 42)
 
 
-@query("r3_weighted_choice")
+def _choice_sql(weights: dict[str, float], u: str) -> str:
+    total, cases = 0.0, []
+    for v in sorted(weights):
+        total += weights[v]
+        cases.append((v, total))
+    return "CASE " + " ".join(f"WHEN {u} * {total!r}::DOUBLE < {c!r}::DOUBLE THEN '{v}'" for v, c in cases[:-1]) + f" ELSE '{cases[-1][0]}' END"
+
+
+_PURPOSES = {"bill": 0.2, "p2p": 0.7, "topup": 0.1}
+
+
+@query("r3_weighted_choice", f"SELECT event_id AS txn_id, {_choice_sql(_PURPOSES, draw_sql(42, 'event_id'))} AS purpose FROM events")
 def _(s, d):
-    return synth.choose(events_ledger(s, d).select("txn_id"), "purpose", {"bill": 0.2, "p2p": 0.7, "topup": 0.1}, 42, "txn_id")
+    return synth.choose(events_ledger(s, d).select("txn_id"), "purpose", _PURPOSES, 42, "txn_id")
 
 
 @query("r6_tick_intensity", f"WITH {GATE_SQL}, h AS (SELECT CAST(extract(hour FROM created_on) AS INT) AS hour, CAST(extract(dow FROM created_on) AS INT) AS dow, count(*) AS volume FROM gate GROUP BY 1, 2), t AS (SELECT CAST(range AS BIGINT) AS tick, TIMESTAMP '2024-01-01' + to_minutes(CAST(range AS INT)) AS m FROM range(10080)) SELECT tick, round(volume / (SELECT sum(volume) FROM h) * (3000 / 1440.0 * 168), 6) AS lam FROM t JOIN h ON h.hour = extract(hour FROM m) AND h.dow = extract(dow FROM m)")
@@ -520,10 +655,28 @@ def _(s, d):
     return synth.tick_intensity(h, SynthConfig(num_users=1000, num_days=7), s).select("tick", *r6("lam"))
 
 
-@query("synth_ledger")
+_SYNTH = SynthConfig(num_users=1000, num_days=7)
+_STATUS, _KINDS = {"False": 0.9, "True": 0.1}, {"p2p": 0.7, "bill": 0.3}
+_RATE = _SYNTH.num_users * 3 * _SYNTH.num_days / (_SYNTH.num_days * 1440) * 168
+
+
+def _seeded(k: int) -> str:
+    return draw_sql(_SYNTH.seed + k, "tick", "seq")
+
+
+@query("synth_ledger", f"""WITH {GATE_SQL}, h AS (SELECT CAST(extract(hour FROM created_on) AS INT) AS hour, CAST(extract(dow FROM created_on) AS INT) AS dow, count(*) AS volume FROM gate GROUP BY 1, 2),
+    t AS (SELECT CAST(range AS BIGINT) AS tick, TIMESTAMP '2024-01-01' + to_minutes(CAST(range AS INT)) AS txn_time FROM range({_SYNTH.num_days * 1440})),
+    l AS (SELECT tick, txn_time, volume / (SELECT sum(volume) FROM h)::DOUBLE * {_RATE!r}::DOUBLE AS lam FROM t JOIN h ON h.hour = extract(hour FROM txn_time) AND h.dow = extract(dow FROM txn_time)),
+    n AS (SELECT tick, txn_time, floor(lam)::BIGINT + ({draw_sql(_SYNTH.seed, 'tick')} < lam - floor(lam))::BIGINT AS n FROM l),
+    r AS (SELECT tick, txn_time, unnest(range(1, n + 1)) AS seq FROM n),
+    a AS (SELECT *, floor({_seeded(1)} * 1000)::BIGINT AS src, row_number() OVER (ORDER BY tick, seq) - 1 AS place FROM r),
+    b AS (SELECT *, CASE WHEN {_seeded(4)} < {_SYNTH.in_cluster} THEN (src // 100 * 100 + floor({_seeded(5)} * 100)::BIGINT) % 1000 ELSE floor({_seeded(6)} * 1000)::BIGINT END AS dst FROM a)
+    SELECT printf('TXN_%010d', place) AS txn_id, txn_time, round(100.0 * pow(1 - {_seeded(2)}, -1 / 2.5::DOUBLE) * 100) / 100 AS amount, printf('u_%06d', src) AS source_id,
+      printf('u_%06d', CASE WHEN dst = src THEN (dst + 1) % 1000 ELSE dst END) AS destination_id, {_choice_sql(_STATUS, _seeded(7))} = 'True' AS status, {_choice_sql(_KINDS, _seeded(8))} AS purpose FROM b""")
 def _(s, d):
     h = profile.dense_heatmap(profile.heatmap(events_gateway(s, d), "UTC"))
-    return synth.synthesize(s, h, SynthConfig(num_users=1000, num_days=7), minimum=100.0, alpha=2.5, status={"False": 0.9, "True": 0.1}, purpose={"p2p": 0.7, "bill": 0.3}, tz="UTC")
+    out = synth.synthesize(s, h, _SYNTH, minimum=100.0, alpha=2.5, status=_STATUS, purpose=_KINDS, tz="UTC")
+    return out.withColumn("txn_time", F.col("txn_time").cast("timestamp_ntz"))
 
 
 # --- compositions
@@ -538,13 +691,12 @@ def _(s, d):
     return base.join(asof.participation(ledger), "txn_id").join(asof.clustering_asof(ledger).select("txn_id", *r6("clustering_coeff_source")), "txn_id")
 
 
-@query("j1_feature_merge", f"WITH {_ALL_SQL}, tw AS (SELECT *, {', '.join(_window_sql(b, (3, 20)) for b in ('AvgAmountT', 'NumberT', 'UniqueDestinationT'))} FROM ledger) SELECT * FROM tw JOIN deg_ USING (txn_id) JOIN part USING (txn_id)")
+@query("j1_feature_merge", f"WITH {_ALL_SQL}, {PR_SQL[PR_SQL.index(', e AS') + 2:]}, x AS ({_entropy_sql(WINDOWS)}), tw AS ({_ALL_WINDOWS}) SELECT tw.*, deg_.* EXCLUDE (txn_id), part.* EXCLUDE (txn_id), cl.* EXCLUDE (txn_id), round(coalesce(a.r, 0), 9) + 0.0 AS pagerank_source, round(coalesce(b.r, 0), 9) + 0.0 AS pagerank_destination FROM tw JOIN deg_ USING (txn_id) JOIN part USING (txn_id) JOIN cl USING (txn_id) LEFT JOIN p10 a ON tw.source_id = a.id LEFT JOIN p10 b ON tw.destination_id = b.id")
 def _(s, d):
     ledger = events_ledger(s, d)
-    t = temporal.temporal_features(ledger, (3, 20), ("AvgAmountT", "NumberT", "UniqueDestinationT"))
-    t = t.withColumns({c: _shown(c) for c in ("AvgAmountT_3", "AvgAmountT_20")})
-    base = asof.degree_features(ledger).select("txn_id", *[F.col(c) if "weighted" not in c and "amt" not in c else _shown(c) for c, _ in _ASOF.values()])
-    return t.join(base, "txn_id").join(asof.participation(ledger), "txn_id")
+    out = plans.feature_table(ledger, graph.pagerank(graph.edges(ledger), iterations=10))
+    shown = [c for c, t in out.dtypes if t == "double" and c not in ("amount", "pagerank_source", "pagerank_destination")]
+    return out.withColumns({c: _shown(c) for c in shown} | {c: F.round(c, 9) + F.lit(0.0) for c in ("pagerank_source", "pagerank_destination")})
 
 
 def minimum_slice(s, d):

@@ -50,14 +50,16 @@ PROFILE = T.StructType([
 
 @dataclass(frozen=True)
 class ProfileConfig:
-    """What the profile step reads; window_start and seed are explicit so that runs repeat."""
+    """What the profile step reads; window_start, seed and, if given, the time of extraction are explicit so that runs repeat."""
 
     window_start: str
     timezone: str = "Asia/Kathmandu"
     sample_fraction: float | None = None
     seed: int = 42
     top: int = 10
-    min_sample: int = 1_000_000
+    window_days: int = 14
+    extracted_at: str | None = None
+    method: str = "exact"
     categories: tuple[str, ...] = ("is_obsolete", "purpose")
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draw
 from ..runtime import table
 from ..schema import LEDGER, PROFILE
 
@@ -75,9 +76,11 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sampled(df: DataFrame, fraction: float | None, seed: int) -> DataFrame:
-    """Seeded Bernoulli row sample; None reads everything."""
-    return df if fraction is None else df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sampled(df: DataFrame, fraction: float | None, seed: int, *key: str) -> DataFrame:
+    """Seeded Bernoulli row sample; None reads everything. With key columns the draw hangs on them alone, not on how rows are partitioned."""
+    if fraction is None:
+        return df
+    return df.where(draw(seed, *[F.col(k) for k in key]) < fraction) if key else df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
 def sample_size(n: int, ratio: float, min_sample: int, z: float = 1.96, margin: float = 0.01) -> int:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV; arrays are JSON text, times are RFC 3339 with a numeric offset."""
-    cols = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct"))
-            else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes]
+    """Header CSV; arrays are JSON text, times are RFC 3339 with a numeric offset, and with microseconds where there are any."""
+    def time(c: str):
+        whole = F.unix_micros(c) % 1_000_000 == 0
+        return F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")).alias(c)
+
+    cols = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else time(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes]
     df.select(*cols).write.mode("overwrite").csv(path, header=True)
 
 
