@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,28 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and read on from there; a folder of its own only where none is set."""
+    """Write df to the session's checkpoint folder and read on from there; a folder of its own only where none is set and the session is local."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, one for each of names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of a text, none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

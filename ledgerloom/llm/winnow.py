@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, small, words
+from .base import cut, fresh, small, words
 
 #: Words in a gram and grams in a window: runs of K + W - 1 equal words always share a fingerprint.
 K, W = 4, 8
-#: Low bits that hold a gram's place.
-PLACE = 24
+#: Low bits that hold a gram's place: a text of 2 GB, the longest there is, has at most 2 ** 30 words.
+PLACE = 30
+#: The rolling hash: a polynomial in BASE over word hashes, modulo the greatest prime under 2 ** 33, so that no product leaves 63 bits.
+PRIME, BASE = (1 << 33) - 9, 479_001_599
+#: Parts of a group of bucket bounds, and buckets at most.
+GROUP, BUCKETS = 256, 1 << 16
+MASK = (1 << PLACE) - 1
 
 
 def grams(ws: Column, k: int = K) -> Column:
-    """Gram hashes with their places below: hash bits above, the place counted down below, so that the least value is the least hash and, among equals, the rightmost."""
-    n = F.size(ws)
-    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(F.array().cast("array<bigint>"))
-    hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]))).otherwise(whole)
-    mask = (1 << PLACE) - 1
-    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(F.lit(mask) - i.cast("long").bitwiseAND(F.lit(mask))))
+    """Gram hashes with their places below: hash bits above, the place counted down below, so that the least value is the least hash and, among equals, the rightmost.
+
+    Every word is hashed once. A gram's hash is the rolling polynomial ((w0 * B + w1) * B + ..) mod P over those hashes; SQL
+    arrays have no scan, so each gram's value is summed from its k word hashes instead of from the gram before."""
+    hashed = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+    n = F.size(hashed)
+
+    def roll(parts: list[Column]) -> Column:
+        out = parts[0]
+        for x in parts[1:]:
+            out = F.pmod(out * BASE + x, F.lit(PRIME))
+        return out
+
+    whole = F.array(F.aggregate(hashed, F.lit(0).cast("long"), lambda a, x: F.pmod(a * BASE + x, F.lit(PRIME))))
+    hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: roll([F.get(hashed, i + j) for j in range(k)]))).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE).bitwiseOR(F.lit(MASK) - i.cast("long")))
 
 
 def select(values: Column, w: int = W) -> Column:
@@ -31,8 +48,7 @@ def select(values: Column, w: int = W) -> Column:
 
 def fingerprint(selected: Column) -> Column:
     """`place:hash` of every selected gram."""
-    mask = (1 << PLACE) - 1
-    return F.array_join(F.transform(selected, lambda v: F.concat((F.lit(mask) - v.bitwiseAND(F.lit(mask))).cast("string"), F.lit(":"), F.hex(F.shiftrightunsigned(v, PLACE)))), " ")
+    return F.array_join(F.transform(selected, lambda v: F.concat((F.lit(MASK) - v.bitwiseAND(F.lit(MASK))).cast("string"), F.lit(":"), F.hex(F.shiftrightunsigned(v, PLACE)))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -42,27 +58,44 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """docs(doc_id, text) plus `selected`, the chosen grams with places; null and empty texts choose none, texts of under k words one."""
-    df = docs.withColumn("_words", words(F.col("text")))
-    return df.withColumn("_grams", grams(F.col("_words"), k)).withColumn("selected", select(F.col("_grams"), w)).drop("_words", "_grams")
+    """docs(doc_id, text) plus `selected`, the chosen grams with places; null and empty texts choose none, texts of under k words one.
+
+    A column `selected` in docs is replaced, all others stay; an empty table gives an empty one, repeated rows repeat."""
+    docs = docs.drop("selected")
+    ws, gs = fresh(docs, "words", "grams")
+    # One step a column, or the words would be found once for every use of them.
+    df = docs.withColumn(ws, words(F.col("text"))).withColumn(gs, grams(F.col(ws), k))
+    return df.withColumn("selected", select(F.col(gs), w)).drop(ws, gs)
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> tuple[DataFrame, Window]:
     """docs(doc_id, text) plus bucket, helper and tie, dealt so that every row's successor by doc_id shares its bucket.
 
-    Buckets are equal ranges of ids. The first row of each is also sent, as a helper, to the bucket before (the very first to
-    the last). Equal ids follow each other by the text's hash; null ids come first."""
+    Buckets are ranges between quantiles of (id, hash of the text), so neither clustered ids nor many rows of one id or
+    without an id fill one. Quantiles are approximate, what lies between them is not. The first row of each bucket is also
+    sent, as a helper, to the bucket before (the very first to the last). Equal ids follow each other by the text's hash;
+    null ids come first; equal rows share a bucket."""
     ids = docs.select("doc_id", F.xxhash64("text").alias("tie"))
-    span = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    buckets = max(1, min(100_000, -(-span["n"] // rows_per_bucket)))
-    width = (hi - lo) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long")
+    span = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo")).first()
+    buckets = max(1, min(BUCKETS, -(-span["n"] // rows_per_bucket)))
+    # The id counts from the least, so that doubles keep the hash apart as long as ids allow it; both parts only ever raise it.
+    key = F.coalesce(F.col("doc_id").cast("double") - float(span["lo"] or 0) + 1, F.lit(0.0)) * float(1 << 62) + (F.col("tie").cast("double") / 4 + float(1 << 61))
+    bounds = []
+    if buckets > 1:
+        shares = F.lit([i / buckets for i in range(1, buckets)])
+        bounds = sorted(set(ids.agg(F.percentile_approx(key, shares, 10 * buckets)).first()[0]))
+    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
+    if groups:
+        table = F.from_json(F.lit(json.dumps(groups)), "array<array<double>>")
+        at = F.greatest(F.size(F.filter(F.transform(table, lambda g: g[0]), lambda b: b <= key)), F.lit(1))
+        bucket = ((at - 1) * GROUP + F.size(F.filter(F.element_at(table, at), lambda b: b <= key))).cast("long")
+    else:
+        bucket = F.lit(0).cast("long")
     first = ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie")).alias("first"))
-    order = Window.orderBy("bucket")  # at most `buckets` + 1 rows
+    order = Window.orderBy("bucket")  # at most `buckets` rows
     last = first.agg(F.max("bucket").alias("last"))
     first = cut(first.withColumn("before", F.lag("bucket").over(order)).join(F.broadcast(last)).select("bucket", "first", F.coalesce("before", "last").alias("before")))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), bucket.alias("bucket")).join(small(first), "bucket")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("bucket", bucket).join(small(first), "bucket")
     is_first = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
     here = F.struct(F.col("bucket"), F.lit(0).alias("helper"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("helper"))
@@ -71,7 +104,9 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> tuple[DataFrame,
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """The contract's columns: each text's fingerprint beside that of the text whose second half is the next document's head. Texts move once."""
+    """The contract's columns: each text's fingerprint beside that of the text whose second half is the next document's head. Texts move once.
+
+    Null texts are empty; a lone row is its own next; an empty table gives an empty one; other columns of docs are left out."""
     rows, order = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = fingerprints(rows.withColumn("_next", F.lead("text").over(order))).withColumnRenamed("selected", "own")
     rows = rows.withColumn("_next_own", F.lead("own").over(order)).where("helper = 0")

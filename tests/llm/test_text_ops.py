@@ -193,39 +193,72 @@ def test_quality_rejects_repetition_as_a_plain_determinant_does(spark):
     assert all(out[i][1] for i, *_ in rows) and not any(out[i][1] for i, *_ in lines + passage)
 
 
-def test_fingerprints_and_edits(docs, spark):
+def brute_fingerprint(text, k=4, w=8):
+    """(place, hash) of the chosen grams, by rolling from gram to gram."""
+    import xxhash
+
+    p, base = (1 << 33) - 9, 479_001_599
+    hs = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in WORD.findall(text or "")]
+    hs = [(h - (1 << 64) if h >> 63 else h) % p for h in hs]
+    if not hs:
+        return []
+    rolled, h = [], 0
+    for i, x in enumerate(hs):
+        h = (h * base + x - (hs[i - k] * pow(base, k, p) if i >= k else 0)) % p
+        if i >= k - 1:
+            rolled.append(h)
+    rolled = rolled or [h]
+    chosen = []
+    for s in range(max(len(rolled) - w + 1, 1)):
+        window = rolled[s : s + w]
+        at = s + max(j for j, x in enumerate(window) if x == min(window))
+        if not chosen or chosen[-1][0] != at:
+            chosen.append((at, rolled[at]))
+    return chosen
+
+
+def brute_likeness(a, b):
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("per_bucket", [4000, 3])
+def test_fingerprints_and_edits(docs, spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(winnow.with_next, "__defaults__", (per_bucket,))
     rows = [(i, t) for i, t, *_ in corpus() if i is not None][:-1]
+    rows += [(10**15 + i, " ".join(random.Random(i).choice("abcd") for _ in range(60))) for i in range(9)]  # far from the rest
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in winnow.compare_with_edits(df).collect()}
+    out = {r.doc_id: r for r in winnow.compare_with_edits(df.repartition(5)).collect()}
     assert len(out) == len(rows)
-    by_text = defaultdict(set)
+    shown = lambda f: " ".join(f"{at}:{h:X}" for at, h in f)
     for k, (i, t) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
+        own, changed, after = map(brute_fingerprint, (t, edited, nxt))
         assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= out[i].near_edited <= 1 and 0 <= out[i].near_next <= 1
-        by_text[t].add(out[i].fingerprint)
-        by_text[edited].add(out[i].edited_fingerprint)
-    assert all(len(v) == 1 for v in by_text.values())
-    small = winnow.with_next(df.select("doc_id", "text").na.fill(""), rows_per_bucket=3)
-    assert small[0].select("bucket").distinct().count() > 5
+        assert out[i].fingerprint == shown(own) and out[i].edited_fingerprint == shown(changed)
+        assert out[i].near_edited == pytest.approx(brute_likeness(own, changed)) and out[i].near_next == pytest.approx(brute_likeness(own, after))
+    small = winnow.with_next(df.select("doc_id", "text").na.fill(""), rows_per_bucket=3)[0]
+    sizes = [r["count"] for r in small.where("helper = 0").groupBy("bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 8
     assert winnow.compare_with_edits(df.limit(0)).count() == 0
     assert winnow.compare_with_edits(docs.select("doc_id", "text")).count() == len(corpus())
 
 
-def test_winnowing_matches_its_definition(spark):
+def test_rows_without_ids_fill_no_bucket(spark):
+    df = spark.range(600).selectExpr("if(id < 400, null, if(id < 500, 7, id)) AS doc_id", "concat('text ', id) AS text")
+    sizes = [r["count"] for r in winnow.with_next(df, rows_per_bucket=20)[0].where("helper = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 60
+
+
+def test_fingerprints_keep_other_columns(spark):
     text = " ".join(random.Random(2).choice("abcd") for _ in range(400))
-    row = winnow.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("selected").first()
+    df = spark.createDataFrame([(1, text, "w", "g", "s"), (2, None, "w", "g", "s")], "doc_id long, text string, words string, grams string, selected string")
+    out = {r.doc_id: r for r in winnow.fingerprints(df).collect()}
     mask = (1 << winnow.PLACE) - 1
-    chosen = {mask - (v & mask): v >> winnow.PLACE for v in row[0]}
-    ws = text.split()
-    grams = spark.createDataFrame([(i, *ws[i : i + 4]) for i in range(397)], "i int, a string, b string, c string, d string").selectExpr("i", "shiftright(xxhash64(a, b, c, d), 24) AS h").collect()
-    h = [r.h for r in sorted(grams)]
-    want = set()
-    for s in range(len(h) - 7):
-        want.add(max(j for j in range(s, s + 8) if h[j] == min(h[s : s + 8])))
-    assert set(chosen) == want and all(chosen[i] == h[i] for i in want)
+    assert [(mask - (v & mask), v >> winnow.PLACE) for v in out[1].selected] == brute_fingerprint(text)
+    assert out[2].selected == [] and out[2].words == "w" and out[2].grams == "g"
 
 
 def test_mixing_keeps_all_and_meets_targets(docs, spark):
