@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, cut, small, words
+from .base import SPACES, cut, fresh, small, words
 
 # Symbols counted, the windows' length, and the rule on words and repetition.
 SYMBOLS = "#*$%&|<>"
@@ -15,6 +15,8 @@ SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 28.47
 #: Spread that every group is granted at least: log word length, then logs of 1 + 100 symbols a character, 1 + 10 repeated lines a line, 1 + 10 repeated words a word.
 #: In a group without repetition the last two alone reject from some 30 % repeated lines or 15 % repeated words on.
 FLOOR = (0.15, 0.35, 0.26, 0.17)
+#: Concentration steps at most, and the change of a log determinant that ends them.
+STEPS, SETTLED = 12, 1e-4
 DIM = range(len(FLOOR))
 KEY = ("doc_id", "lang", "source")
 
@@ -70,33 +72,74 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in DIM), F.lit(0.0))).drop(*[f"y{i}" for i in DIM])
 
 
-def estimate(rows: DataFrame, steps: int = 3) -> DataFrame:
+def _moments(prefix: str, x: list[Column]) -> list[Column]:
+    """Means and mean products of x."""
+    return [*[F.avg(x[i]).alias(f"{prefix}a{i}") for i in DIM], *[F.avg(x[i] * x[j]).alias(f"{prefix}q{i}{j}") for i in DIM for j in range(i + 1)]]
+
+
+def _covariance(prefix: str, factor: float = 1.0) -> dict[tuple[int, int], Column]:
+    return {(i, j): factor * (F.col(f"{prefix}q{i}{j}") - F.col(f"{prefix}a{i}") * F.col(f"{prefix}a{j}")) for i in DIM for j in range(i + 1)}
+
+
+def _granted(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
+    return {(i, j): c + FLOOR[i] ** 2 if i == j else c for (i, j), c in cov.items()}
+
+
+def _parameters(df: DataFrame, start: int | None, cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """(grp, start, m*, l**, logdet) from df with m* and a covariance."""
+    for level in _cholesky(cov):
+        df = df.withColumns(dict(level))
+    df = df if start is None else df.withColumn("start", F.lit(start))
+    return df.select("grp", "start", *PARAMETERS, sum((2 * F.ln(f"l{i}{i}") for i in DIM), F.lit(0.0)).alias("logdet"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of rows(grp, x*): median deviations alone; those with the correlations of tanh((x - median) / deviation), which far rows hardly move; and plain moments."""
+    med = cut(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in DIM]))
+    dev = cut(rows.join(small(med), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in DIM], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i in DIM]))
+    spread = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOOR[i] ** 2) for i in DIM]
+    centred = rows.join(small(dev), "grp")
+    c = [F.col(f"x{i}") - F.col(f"m{i}") for i in DIM]
+    both = centred.groupBy("grp").agg(*[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "ms" for i in DIM], *_moments("p", c), *_moments("t", [F.tanh(c[i] / spread[i]) for i in DIM]))
+    both = cut(both)
+    diagonal = {(i, j): F.pow(spread[i], 2) if i == j else F.lit(0.0) for i in DIM for j in range(i + 1)}
+    t = _covariance("t")
+    sd = [F.sqrt(F.greatest(t[i, i], F.lit(1e-12))) for i in DIM]
+    tanh = {(i, j): F.pow(spread[i], 2) if i == j else spread[i] * spread[j] * F.greatest(F.least(t[i, j] / sd[i] / sd[j], F.lit(0.95)), F.lit(-0.95)) for i in DIM for j in range(i + 1)}
+    moved = both.withColumns({f"m{i}": F.col(f"m{i}") + F.col(f"pa{i}") for i in DIM})
+    return _parameters(both, 0, diagonal).unionByName(_parameters(both, 1, tanh)).unionByName(_parameters(moved, 2, _granted(_covariance("p"))))
+
+
+def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step of every (grp, start): the SHARE of a group nearest by Mahalanobis distance gives the next estimate."""
+    near = distance(rows.join(small(params.drop("logdet")), "grp"))
+    limit = cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("limit")))
+    kept = near.join(small(limit), ["grp", "start"]).where("d2 <= limit")
+    # Moments about the old centre, so that large means cost no digits.
+    c = [F.col(f"x{i}") - F.col(f"m{i}") for i in DIM]
+    sums = kept.groupBy("grp", "start").agg(*[F.first(f"m{i}").alias(f"o{i}") for i in DIM], *_moments("p", c))
+    return _parameters(sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"pa{i}") for i in DIM}), None, _granted(_covariance("p", CONSISTENCY)))
+
+
+def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(grp, m*, l**): deterministic minimum-covariance-determinant estimates of rows(grp, x*).
 
-    Starts at medians and median deviations; each concentration step keeps the SHARE of a group nearest by Mahalanobis
-    distance and estimates anew. FLOOR squared is added to every variance, so constant features stay regular. All statistics
-    are mergeable aggregates, so a group may hold any share of the rows."""
-    med = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in DIM])
-    med = cut(med)
-    dev = rows.join(small(med), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in DIM], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i in DIM])
-    params = cut(dev.select("grp", *[F.col(f"m{i}") for i in DIM], *[(F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIM for j in range(i + 1)]))
+    From each of the three `starts`, concentration steps go on until no group's log determinant changes by more than SETTLED,
+    or `steps` are done; of the three ends of a group that of the least determinant counts, the first of equals. FLOOR squared
+    is added to every variance, so constant features stay regular. All statistics are mergeable aggregates, so a group may hold
+    any share of the rows."""
+    params = cut(starts(rows))
     for _ in range(steps):
-        near = distance(rows.join(small(params), "grp"))
-        limit = cut(near.groupBy("grp").agg(F.percentile_approx("d2", SHARE, 2000).alias("limit")))
-        kept = near.join(small(limit), "grp").where("d2 <= limit")
-        # Moments about the old centre, so that large means cost no digits.
-        c = [F.col(f"x{i}") - F.col(f"m{i}") for i in DIM]
-        sums = kept.groupBy("grp").agg(*[F.first(f"m{i}").alias(f"o{i}") for i in DIM], *[F.avg(c[i]).alias(f"a{i}") for i in DIM], *[F.avg(c[i] * c[j]).alias(f"q{i}{j}") for i in DIM for j in range(i + 1)])
-        cov = {(i, j): CONSISTENCY * (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + (FLOOR[i] ** 2 if i == j else 0.0) for i in DIM for j in range(i + 1)}
-        new = sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") for i in DIM})
-        for level in _cholesky(cov):
-            new = new.withColumns(dict(level))
-        params = cut(new.select("grp", *PARAMETERS))
-    return params
+        old = params.select("grp", "start", F.col("logdet").alias("old"))
+        params = cut(concentrate(rows, params))
+        if params.join(small(old), ["grp", "start"]).where(F.abs(F.col("logdet") - F.col("old")) > SETTLED).isEmpty():
+            break
+    best = params.groupBy("grp").agg(F.min(F.struct(F.round("logdet", 9).alias("d"), "start", *PARAMETERS)).alias("b"))
+    return cut(best.select("grp", *[F.col(f"b.{p}").alias(p) for p in PARAMETERS]))
 
 
 def judge(stats: DataFrame, least: int = 100) -> DataFrame:
-    """stats plus kept: base rules passed and no outlier of its language and source.
+    """stats plus distance2 and kept: base rules passed and no outlier of its language and source.
 
     Groups of under `least` passing documents are judged with their language's; null languages and sources are groups."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("lang", "source"))
@@ -111,14 +154,17 @@ def judge(stats: DataFrame, least: int = 100) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """A row a row of docs(doc_id, text, lang, source): statistics, base_failed, distance2, kept. Empty tables give empty results."""
-    return judge(cut(text_statistics(docs, *KEY)))
+    """A row a row of docs(doc_id, text, lang, source): statistics, base_failed, distance2, kept.
+
+    Null texts have no words and fail; null ids, languages and sources stay; repeated rows are judged alike; other columns are
+    left out, whatever their names. Empty tables give empty results."""
+    return judge(cut(text_statistics(docs.select(*KEY, "text"), *KEY)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns. Verdicts are found by a 96-bit hash of the row's id, language, source and text; texts move once."""
-    ids = [F.xxhash64(*KEY, "text").alias("_a"), F.hash("text", *KEY).alias("_b")]
-    marked = docs.select("*", *ids)
-    stats = cut(text_statistics(marked, *KEY, "_a", "_b"))
-    good = judge(stats).where("kept").select("_a", "_b").distinct()
-    return marked.join(good, ["_a", "_b"], "left_semi").select(*docs.columns)
+    """The rows of docs that pass, with their columns, whatever their names. Verdicts are found by a 128-bit hash of the row's id, language, source and text; texts move once."""
+    a, b = fresh(docs, "a", "b")
+    marked = docs.withColumns({a: F.xxhash64(*KEY, "text"), b: F.xxhash64(F.lit(7), "text", *KEY)})
+    slim = marked.select(*KEY, "text", F.col(a).alias("mark1"), F.col(b).alias("mark2"))
+    good = judge(cut(text_statistics(slim, *KEY, "mark1", "mark2"))).where("kept").select(F.col("mark1").alias(a), F.col("mark2").alias(b)).distinct()
+    return marked.join(good, [a, b], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
