@@ -1,4 +1,4 @@
-"""License scans: sparse TF-IDF cosine of passages to notices, then inheritance from the nearest directory above."""
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory above."""
 
 from __future__ import annotations
 
@@ -9,108 +9,157 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut
+from .license_texts import templates
 
-# Notices as their licences word them, and what a line must contain to be looked at.
-NOTICES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. BSD 3-Clause License."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0 Universal public domain dedication."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
-)
-TRIGGERS = ("licen", "copyright", "permission", "permitted", "public domain", "redistribut", "free software", "spdx")
+# What a text must hold to be looked at.
+TRIGGERS = ("licen", "copyright", "permission", "permitted", "public domain", "redistribut", "free software", "unencumbered", "as-is", "spdx", "creative commons", "cc by", "cc0", "boost software", "general public", "mozilla public")
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 #: Cosine that counts as a match, and the share of a file's characters in matched passages that makes it a licence file.
 THRESHOLD, WHOLE = 0.75, 0.5
+#: How many adjacent lines or sentences a passage takes, from one with a trigger on.
+SPANS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+SEGMENT = re.compile(r"\n|(?<=[.;:])[ \t]+")
 
 
 def terms(text: str) -> list[str]:
     return [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]
 
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def passages(files: DataFrame) -> DataFrame:
-    """(path, passage): lines with a trigger, and the whole text of licence files."""
-    low = F.lower("text")
+def triggered(text: Column) -> Column:
+    low = F.lower(text)
     hit = F.lit(False)
     for t in TRIGGERS:
         hit = hit | low.contains(t)
-    found = files.select("path", "text").where(hit)
-    line_hit = lambda x: F.exists(F.array(*map(F.lit, TRIGGERS)), lambda t: F.contains(F.lower(x), t))
-    every = F.when(F.col("path").rlike(LICENCE_FILE), F.array("text")).otherwise(F.filter(F.split("text", "\n"), line_hit))
-    return found.select("path", F.explode(every).alias("passage"))
+    return hit
+
+
+def segments(text: str) -> tuple[list[str], list[int]]:
+    """Lines, long ones cut into sentences, and the places of those with a trigger."""
+    out = [x for x in SEGMENT.split(text) if x.strip()]
+    return out, [i for i, x in enumerate(out) if any(t in x.lower() for t in TRIGGERS)]
+
+
+def passages(path: str, text: str) -> list[tuple[int, int]]:
+    """Runs [a, b) of segments that are scored: from every trigger on, SPANS long as far as the text goes, and the whole of a licence file."""
+    segs, hits = segments(text)
+    runs = {(i, min(i + n, len(segs))) for i in hits for n in SPANS}
+    if re.search(LICENCE_FILE, path):
+        runs.add((0, len(segs)))
+    return sorted(runs)
+
+
+class Scorer:
+    """Unit TF-IDF vectors of the templates; terms that no template has weigh 1."""
+
+    def __init__(self, n: int, df: dict[str, int]):
+        import math
+
+        import numpy as np
+
+        self.found = [(name, Counter(terms(text))) for name, text in templates()]
+        self.known = {t: i for i, t in enumerate(sorted({t for _, c in self.found for t in c}))}
+        self.idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in self.known])
+        self.matrix = np.zeros((len(self.found), len(self.known)))
+        for row, (_, counts) in zip(self.matrix, self.found, strict=True):
+            for t, c in counts.items():
+                row[self.known[t]] = c
+        self.matrix *= self.idf
+        self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
+        self.names = [name for name, _ in self.found]
+
+    def best(self, path: str, text: str) -> tuple[str, float, float, int, int] | None:
+        """(licence, cosine, weight, matched triggers, characters under matched passages), the first name among equals, or None.
+
+        Of the passages that match, the one counts of which its template explains most, cosine times length of the vector: a
+        licence that holds a shorter one whole is then not taken for it."""
+        import numpy as np
+
+        segs, _ = segments(text)
+        split = {}
+        found, covered, starts = [], set(), set()
+        vector, other, square, at = np.zeros(len(self.known)), Counter(), 0, (-1, -1)
+        for a, b in passages(path, text):
+            if a != at[0]:
+                vector, other, square, at = np.zeros(len(self.known)), Counter(), 0, (a, a)
+            for i in range(at[1], b):
+                if i not in split:
+                    split[i] = terms(segs[i])
+                for t in split[i]:
+                    k = self.known.get(t)
+                    if k is not None:
+                        vector[k] += 1
+                    else:
+                        square += 2 * other[t] + 1
+                        other[t] += 1
+            at = (a, b)
+            v = vector * self.idf
+            norm = float(v @ v + square) ** 0.5
+            if not norm:
+                continue
+            score = np.round(self.matrix @ v / norm, 9)
+            top = float(score.max())
+            if top >= THRESHOLD:
+                found.append((-round(top * norm, 6), min(n for n, s in zip(self.names, score, strict=True) if s == top), -top))
+                covered.update(range(a, b))
+                starts.add(a)
+        if not found:
+            return None
+        weight, name, score = min(found)
+        return name, -score, -weight, len(starts), sum(len(segs[i]) for i in covered)
 
 
 def frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
-    """Passages, and how many hold each term of the notices: at most one row a notice term comes to the driver."""
-    known = sorted({t for _, n in NOTICES for t in terms(n)})
-    rows = found.select(F.explode(F.array_intersect(_terms(F.col("passage")), F.array(*map(F.lit, known)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
-    return found.count(), {r.t: r.n for r in rows}
+    """Files with a trigger, and in how many of them passages hold each term of the templates: at most one row a template term comes to the driver."""
+    known = {t for _, x in templates() for t in terms(x)}
 
+    def run(batches):
+        import pyarrow as pa
 
-def weights(n: int, df: dict[str, int]) -> dict[str, float]:
-    import math
+        count: Counter = Counter()
+        for batch in batches:
+            for path, text in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True):
+                segs, _ = segments(text)
+                inside = {i for a, b in passages(path, text) for i in range(a, b)}
+                count.update({t for i in inside for t in terms(segs[i])} & known)
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["t", "n"])
 
-    return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in sorted({t for _, x in NOTICES for t in terms(x)})}
-
-
-def notice_vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
-    """Unit TF-IDF vectors."""
-    out = []
-    for name, text in NOTICES:
-        v = {t: c * idf[t] for t, c in Counter(terms(text)).items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        out.append((name, {t: x / norm for t, x in v.items()}))
-    return out
+    rows = found.select("path", "text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    return found.count(), {r.t: r.n for r in rows}
 
 
 def score(found: DataFrame, n: int, df: dict[str, int]) -> DataFrame:
-    """(path, passage, license, score): the best notice of each passage. Terms that no notice has weigh 1; ties go to the first name."""
-    idf = weights(n, df)
-    table = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
-    counted = found.withColumn("_t", _terms(F.col("passage"))).withColumn("_v", F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("_t", lambda u: u == t)) * F.coalesce(F.try_element_at(table, t), F.lit(1.0))).alias("w"))))
-    counted = counted.withColumn("_norm", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
+    """(path, license, score, weight, n_passages, chars) of the files with a passage that matches."""
+    def run(batches):
+        import pyarrow as pa
 
-    def cosine(vector: dict[str, float]) -> Column:
-        m = F.create_map(*[F.lit(x) for t, w in vector.items() for x in (t, w)])
-        dot = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-        return F.round(dot / F.greatest("_norm", F.lit(1e-12)), 9)
+        scorer = Scorer(n, df)
+        for batch in batches:
+            rows = []
+            for path, text in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True):
+                if best := scorer.best(path, text):
+                    rows.append((path, *best))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["path", "license", "score", "weight", "n_passages", "chars"])
 
-    scored = [F.struct((-cosine(vector)).alias("s"), F.lit(name).alias("license")) for name, vector in notice_vectors(idf)]
-    return counted.withColumn("_best", F.array_min(F.array(*scored))).select("path", "passage", F.col("_best.license").alias("license"), (-F.col("_best.s")).alias("score"))
+    return found.select("path", "text").mapInArrow(run, "path string, license string, score double, weight double, n_passages long, chars long")
 
 
 def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def scan(files: DataFrame, threshold: float = THRESHOLD, whole: float = WHOLE) -> DataFrame:
+def scan(files: DataFrame, whole: float = WHOLE) -> DataFrame:
     """(path, own_license, own_score, n_passages, licence_file, license, origin, origin_dir), a row a distinct path of files(path, text).
 
     origin is `own` for a match in the file, `inherited` for that of the nearest directory above that holds a licence file
     (its best score, then least name), or null. The empty directory is the root. Null texts and empty files only inherit;
-    rows of one path are one file; null paths have the path ''."""
+    rows of one path are one file; null paths have the path ''. Texts are scored whole, however long; an empty table gives an
+    empty one; other columns of files are left out."""
     files = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(passages(files))
-    matched = score(found, *frequencies(found)).where(F.col("score") >= threshold)
-    best = F.max_by("license", F.struct("score", F.transform(F.split("license", ""), lambda c: -F.ascii(c)))).alias("own_license")
-    own = matched.groupBy("path").agg(best, F.max("score").alias("own_score"), F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("passage")).alias("chars"))
+    found = cut(files.where(triggered(F.col("text"))))
+    matched = score(found, *frequencies(found))
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "license", (-F.col("score")).alias("s"))).alias("best")
+    own = matched.groupBy("path").agg(best, F.sum("n_passages").alias("n_passages"), F.sum("chars").alias("chars")).select("path", F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"), "n_passages", "chars")
     every = files.groupBy("path").agg(F.sum(F.length("text")).alias("all")).join(own, "path", "left")
     every = cut(every.select("path", parent(F.col("path")).alias("dir"), "own_license", "own_score", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
         (F.col("own_license").isNotNull() & (F.col("path").rlike(LICENCE_FILE) | (F.col("chars") >= whole * F.col("all")))).alias("licence_file")))
