@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, trimmed
+from .base import cut, fresh, trimmed
 from .sketches import Shingler, band_keys, joint_estimate, sketches
 
 LEAST = -(1 << 63)
-#: Members outside the main component that a task compares, and members that it compares them with.
+#: Members outside the main component that a task compares, and members that it compares them with; and the shingles of either, 8 bytes each.
 QUERIES, ROWS = 4096, 16384
+QUERY_SHINGLES, ROW_SHINGLES = 2_000_000, 8_000_000
 
 
 def _sketch(size: int):
@@ -61,7 +62,7 @@ def _bands(batches: Iterator) -> Iterator:
     for batch in batches:
         registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         keys = band_keys(registers).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), keys.shape[1]))], ["band", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(batch.column(c).to_numpy(), keys.shape[1])) for c in ("rep", "n")]], ["band", "rep", "n"])
 
 
 def _sets(size: int):
@@ -206,7 +207,7 @@ def _components(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     rows = cut(here.mapInArrow(trimmed(_sketch(size)), "__id long, n long, f1 long, f2 long, registers binary"))
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("__id").alias("id"), F.min("registers").alias("registers"))
     reps = classes.select(F.col("f1").alias("rep"), "n", "registers")
-    bands = reps.select("rep", "registers").mapInArrow(trimmed(_bands), "band long, rep long")
+    bands = reps.mapInArrow(trimmed(_bands), "band long, rep long, n long")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("s"), F.min("rep").alias("centre"))
     members = cut(bands.join(sizes.where("s > 1"), "band"))
     involved = cut(members.select("rep").distinct())
@@ -232,12 +233,14 @@ def _components(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
 
 def _more_links(members: DataFrame, found: DataFrame, sketched: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Links between components that meet in a bucket."""
-    placed = members.select("band", "rep", "s").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top")).where("k > 1 AND all > 2")
-    rest = placed.join(main.select("band", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("minors")), "band")
+    placed = members.select("band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("cn"))
+    main = counts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.sum("cn").alias("all_n"), F.max(F.struct("c", "component", "cn")).alias("top")).where("k > 1 AND all > 2")
+    parts = lambda count, most, size, bytes_: F.ceil(F.greatest(count / most, size / bytes_)).cast("int")
+    main = main.select("band", F.col("top.component").alias("main"), parts(F.col("all") - F.col("top.c"), QUERIES, F.col("all_n") - F.col("top.cn"), QUERY_SHINGLES).alias("ni"), parts(F.col("all"), ROWS, F.col("all_n"), ROW_SHINGLES).alias("nj"))
+    rest = placed.join(main, "band")
     rest = rest.select("band", "rep", "component", (F.col("component") != F.col("main")).alias("minor"),
-        F.ceil(F.col("minors") / QUERIES).cast("int").alias("ni"), F.ceil(F.col("all") / ROWS).cast("int").alias("nj"), F.xxhash64("rep").alias("h"))
+        "ni", "nj", F.xxhash64("rep").alias("h"))
     mine_i, mine_j = F.pmod("h", "ni").cast("int"), F.pmod(F.shiftright("h", 20), F.col("nj")).cast("int")
     as_row = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(i.alias("i"), mine_j.alias("j"), F.lit(False).alias("query")))
     as_query = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(mine_i.alias("i"), j.alias("j"), F.lit(True).alias("query")))).otherwise(F.slice(as_row, 1, 0))
@@ -247,6 +250,9 @@ def _more_links(members: DataFrame, found: DataFrame, sketched: DataFrame, sets:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of docs whose id is its component's least; texts without words stay."""
-    kept = _components(docs.select("doc_id", "text"), size, per_cent).where("__id = component").select("__id").distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).join(kept, "__id", "left_semi").select(*docs.columns)
+    """The rows of docs whose id is its component's least, with their columns, whatever their names; texts without words stay.
+
+    Rows of one id stay or go together, so equal rows stay both. Rows without an id count as least and all stay."""
+    key, = fresh(docs, "key")
+    kept = _components(docs.select("doc_id", "text"), size, per_cent).where("__id = component").select(F.col("__id").alias(key)).distinct()
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

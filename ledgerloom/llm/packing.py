@@ -16,9 +16,9 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 CHUNK, TABLE = 1 << 17, 0x2100
 
 
-def split_long(text: str, size: int = CHUNK) -> list[str]:
+def split_long(text: str, size: int | None = None) -> list[str]:
     """Cut before single blanks between non-blanks, where a pre-token starts on either side of any cut."""
-    parts, at = [], 0
+    parts, at, size = [], 0, size or CHUNK
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
         if not m:
@@ -34,7 +34,7 @@ _SAFE = re.compile(r"\S(?= \S)")
 class ByteBPE:
     """Ids of many texts at once: pre-tokens are found and hashed in bulk, and only new ones go to the tokenizer.
 
-    Texts with code points from TABLE on, or with the string of a special token, go to the tokenizer whole."""
+    Texts with code points from TABLE on, or with the string of a special token, go to the tokenizer, in chunks if they are long."""
 
     def __init__(self, path: str, memo: int = 600_000):
         import unicodedata
@@ -92,7 +92,7 @@ class ByteBPE:
         plain = []
         for i, t in enumerate(texts):
             if self.odd.search(t):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                out[i] = np.concatenate([np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in split_long(t)])
             else:
                 plain.append(i)
         at = 0
@@ -123,7 +123,7 @@ class ByteBPE:
         value = self.place[place]
         value *= cps + np.uint32(1)
         h = mix(np.add.reduceat(value, start) ^ mix(size.astype(np.uint64))).tolist()
-        if len(self.slots) > self.memo:
+        if len(self.slots) > self.memo or len(self.ids) > 16 * self.memo:
             self.forget()
         get = self.slots.get
         slot = np.array([get(k, -1) for k in h], np.int64)

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from .base import per_process
 
 
+#: Bytes of a word that is worth remembering.
+LONG = 64
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,17 +86,19 @@ class Automaton:
 
 
 class _Memo(dict):
-    """Counts of the words met so far, at most `size` of them."""
+    """Counts of the words met so far, at most `size` of them, of at most LONG bytes each."""
 
     def __init__(self, automaton: Automaton, size: int):
         super().__init__()
         self.automaton, self.size = automaton, size
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.size:
-            self.clear()
         n = self.automaton.count(word)
-        self[word] = value = -1 if n is None else n
+        value = -1 if n is None else n
+        if len(word) <= LONG:
+            if len(self) >= self.size:
+                self.clear()
+            self[word] = value
         return value
 
 

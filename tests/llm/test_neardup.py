@@ -68,9 +68,9 @@ def test_components_are_exact(spark, seed):
 
 def test_stage_keeps_one_of_each(spark):
     rows = corpus(3, 40)
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, extra int")
+    df = spark.createDataFrame([(i, t, 1, -i, "c") for i, t in rows], "doc_id long, text string, key int, __id int, component string")
     kept = neardup.one_of_each(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and all(r["__id"] == -r.doc_id for r in kept.collect())
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
     assert neardup.one_of_each(df.limit(0)).count() == 0 and neardup.near_duplicates(df.limit(0)).count() == 0
 
@@ -87,9 +87,10 @@ def test_components_of_chains(spark):
     assert out == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {4000: 4000, 5000: 4000}
 
 
-def test_blocks_cover_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "QUERIES", 16)
-    monkeypatch.setattr(neardup, "ROWS", 20)
+@pytest.mark.parametrize("limits", [{"QUERIES": 16, "ROWS": 20}, {"QUERY_SHINGLES": 900, "ROW_SHINGLES": 1500}])
+def test_blocks_cover_every_pair(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
     rows = corpus(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()) == brute(rows)

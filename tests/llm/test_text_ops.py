@@ -96,6 +96,35 @@ def test_packing_covers_every_id_once(docs):
     assert packing.pack(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_long_texts_are_cut_where_tokens_end(monkeypatch):
+    bpe = packing.ByteBPE(P.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    words = ["hello", "it's", "漢字", "12", "--", "a  b", "né", "\n\n", "x" * 40, "ﬁ", "🙂"]
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    for odd in (False, True):
+        text = " ".join(rng.choice([w for w in words if odd or max(map(ord, w)) < 0x2100]) for _ in range(400))
+        assert len(packing.split_long(text)) > 10
+        want = bpe.tokenizer.encode(text, add_special_tokens=False).ids
+        assert bpe.encode([text])[0].tolist() == want and bpe.encode(["q", text, ""])[1].tolist() == want
+
+
+def test_padding_of_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json")).select("sequence_id", "length").collect()
+    assert sum(r.length for r in rows) > 0.97 * 1024 * len({r.sequence_id for r in rows})
+
+
+def test_empty_tables_long_words_and_extra_columns(spark):
+    long = [(1, "w" * 1_000_000 + " " + "ab " * 1000, "x"), (2, None, "y"), (None, " ", "z"), (None, " ", "z")]
+    df = spark.createDataFrame(long, "doc_id long, text string, n_words string")
+    out = sorted((str(r.doc_id), r.n_words) for r in tokens.token_counts(df, P.path("byte_bpe_50k.json")).collect())
+    assert out == [("1", 1001), ("2", 0), ("None", 0), ("None", 0)]
+    assert tokens.token_counts(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+    assert packing.pack(df, P.path("byte_bpe_50k.json")).where("doc_id = 2").collect()[0].doc_tokens == 1
+    stats = quality.text_statistics(spark.createDataFrame([(1, "ab cd ef gh ij\n" * 40_000)], "doc_id long, text string"), "doc_id").first()
+    assert (stats.n_words, stats.n_dup_lines, stats.n_repeat_words) == (200_000, 39_999, 200_000)
+
+
 def test_differencing_balances():
     rng = random.Random(9)
     sizes = [rng.randint(1, 256) for _ in range(800)]
@@ -296,4 +325,15 @@ def test_mixing_keeps_all_and_meets_targets(docs, spark):
     assert abs(sum(w) - 1) < 1e-6 and abs(-sum(x * math.log(x) for x in w) - 0.9 * math.log(2)) < 1e-5
     got = {r.source: r for r in mixing.solve(sources, entropy=None, repetition=2.0, budget=None).collect()}
     assert abs(got["b"].epochs - 2) < 1e-4 and got["a"].epochs == 1 and got["c"].weight == 0
+    # By a plain search: the greatest exponent that no source is read more than twice at, on half the tokens.
+    three = spark.createDataFrame([("a", 10, 1000), ("b", 10, 100), ("c", 5, 30)], "source string, n_docs long, tokens long")
+    counts, total = [1000, 100, 30], 1130
+    epochs = lambda e: max(0.5 * total * (c / total) ** e / sum((d / total) ** e for d in counts) / c for c in counts)
+    got = mixing.solve(three, entropy=None, repetition=2.0, budget=0.5).collect()
+    assert abs(epochs(got[0].exponent) - 2) < 1e-6 and max(r.epochs for r in got) <= 2 + 1e-6
+    best = lambda e: -sum((w := (c / total) ** e / sum((d / total) ** e for d in counts)) * math.log(w) for c in counts)
+    e = mixing.solve(three, entropy=0.8, repetition=None, budget=1.0).first().exponent
+    assert abs(best(e) - 0.8 * math.log(3)) < 1e-7
     assert mixing.mix(docs.limit(0)).count() == 0
+    odd = docs.withColumns({c: docs.lang for c in ("_blocks", "_source", "src", "blocks", "h", "cum", "epoch", "every", "tokens", "n_docs")})
+    assert mixing.mix(odd).count() == mixing.mix(docs).count() and set(odd.columns) <= set(mixing.mix(odd).columns)
