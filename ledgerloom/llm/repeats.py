@@ -28,9 +28,11 @@ LEAST = -(1 << 63)
 CROWD, PARTS = 4096, 4
 #: Occurrences of a gram from which on it is hot: all occurrences over HOT bounds how many such grams there can be.
 HOT = 4_000_000
+#: One document in so many is scanned to find hot grams. That only chooses between two exact ways, so no row hangs on it.
+GLANCE = 64
 #: Bytes of stretches after which an index is closed at the next gram.
 SHARD = 500_000
-#: A row's key: its id and 128 bits of its text.
+#: A row's key: its id and 64 bits of its text, 128 bits where there is no id.
 KEY = ("__id", "__rk", "__rj")
 ROW = "__id long, __rk long, __rj long"
 OCCURRENCE = "__id:long, __rk:long, __rj:long, pos:long"
@@ -128,12 +130,12 @@ def stretches(h: Hasher, symbols, unit: Unit):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(row, text, __id, __rk, __rj) of docs(doc_id, text, ...): whole rows as structs, so that no column of theirs can clash, and their keys.
+    """(row, text, __id, __rk, __rj) of docs(doc_id, text, ...): whole rows as structs, so that no column of theirs can clash, and their keys. text is for scans; whoever moves rows drops it.
 
     `__id` is never null (null counts as the least id). Rows with equal keys are copies and fare alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__id"),
-        F.xxhash64(text).alias("__rk"), F.xxhash64(F.lit(7), text).alias("__rj"))
+        F.xxhash64(text).alias("__rk"), F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(7), text)).otherwise(F.lit(0).cast("long")).alias("__rj"))
 
 
 def _scan(unit: Unit) -> Callable[[Iterator], Iterator]:
@@ -316,9 +318,10 @@ def repeated(docs: DataFrame, unit: Unit, index: Callable, ordered: bool, crowd:
     stretch = Window.partitionBy("gram", "c1", "c2")
     gram = Window.partitionBy("gram")
     here = docs.select(*KEY, "text")
-    found = cut(here.mapInArrow(trimmed(_scan(unit)), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>"))
+    scan = lambda rows: rows.mapInArrow(trimmed(_scan(unit)), f"gram long, c1 long, c2 int, n long, {OCCURRENCE.replace(':', ' ')}, rest array<struct<{OCCURRENCE}>>")
+    found, glance = scan(here), scan(here if hot else here.where(F.rand(11) < 1 / GLANCE))
     occurrence = F.struct(*KEY, "pos")
-    hot_grams = cut(found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > (hot or HOT)).select("gram"))
+    hot_grams = cut(glance.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > (hot or HOT / GLANCE)).select("gram"))
     some = not hot_grams.isEmpty()
     plain = found.join(small(hot_grams, 1_000_000), "gram", "left_anti") if some else found
     # Its first occurrence is the least of a row.
@@ -361,7 +364,8 @@ def outcome(docs: DataFrame, spans: DataFrame, own: str, row) -> DataFrame:
     """The rows of `keyed` docs with columns `own` that row(text bytes or None, merged runs) gives for each."""
     from pyspark.sql import types as T
 
-    joined = docs.join(spans, list(KEY), "left").select("row", "text", "__spans")
+    # Rows hold their text; it moves once.
+    joined = docs.drop("text").join(spans, list(KEY), "left").select("row", "__spans")
     made = T.StructType.fromDDL(own)
 
     def run(batches):
@@ -370,7 +374,7 @@ def outcome(docs: DataFrame, spans: DataFrame, own: str, row) -> DataFrame:
 
         schema = to_arrow_schema(made)
         for batch in sliced(batches):
-            texts, found = batch.column(1), batch.column(2).to_pylist()
+            texts, found = batch.column(0).field("text"), batch.column(1).to_pylist()
             rows = [row(t.as_buffer(), merged(f)) for t, f in zip(texts, found, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], ["row", *schema.names])

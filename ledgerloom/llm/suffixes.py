@@ -11,7 +11,7 @@ from .repeats import CROWD, Hasher, Unit, keyed, outcome, repeated
 LENGTH = 400
 UNIT = Unit("bytes", LENGTH, 100)
 #: For passages rather than bytes: words, however they are spaced.
-PASSAGE = Unit("words", 50, 16)
+PASSAGE = Unit("words", 50, 10)
 
 
 def order(grams, q: int, target: int, parts: int = 8):
@@ -115,9 +115,12 @@ def without_repeats(docs: DataFrame, unit: Unit = PASSAGE) -> DataFrame:
     """docs with repeated passages cut from text, every occurrence, and n_chars set anew. A cut inside a character drops what is left of it.
 
     Works on a struct of each row, so columns of any name pass; null texts stay null."""
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    out = dedup(whole, unit, as_text=True)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("whole")), unit, as_text=True)
+    old = {c: F.col("whole")[f"c{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id")}
     touched = F.col("n_removed") > 0
     text = F.when(touched, F.col("kept_bytes")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(touched, F.length(text).cast("long")).otherwise(F.col("whole")["n_chars"]) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else F.col("whole")[c].alias(c) for c in docs.columns])
+    new = old | {"text": text}
+    if "n_chars" in old:
+        new["n_chars"] = F.when(touched, F.length(text).cast("long")).otherwise(old["n_chars"])
+    return out.select(*[new[c].alias(c) for c in docs.columns])

@@ -176,7 +176,7 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
 
 
 def test_null_ids_with_equal_short_hashes_stay_apart(spark):
-    """Rows without an id are told apart by 128 bits of their texts."""
+    """Rows without an id are told apart by 128 bits of their texts, others by their id and 64."""
     from ledgerloom.llm import repeats
 
     df = spark.range(300_000).selectExpr("cast(null as long) AS doc_id", "concat('t', id) AS text")
