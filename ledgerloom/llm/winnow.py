@@ -20,12 +20,15 @@ GROUP, BUCKETS = 256, 1 << 16
 MASK = (1 << PLACE) - 1
 
 
-def grams(ws: Column, k: int = K) -> Column:
+def word_hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+
+
+def grams(hashed: Column, k: int = K) -> Column:
     """Gram hashes with their places below: hash bits above, the place counted down below, so that the least value is the least hash and, among equals, the rightmost.
 
-    Every word is hashed once. A gram's hash is the rolling polynomial ((w0 * B + w1) * B + ..) mod P over those hashes; SQL
+    `hashed` is a column of word_hashes, so that every word is hashed once. A gram's hash is the rolling polynomial ((w0 * B + w1) * B + ..) mod P over those hashes; SQL
     arrays have no scan, so each gram's value is summed from its k word hashes instead of from the gram before."""
-    hashed = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
     n = F.size(hashed)
 
     def roll(parts: list[Column]) -> Column:
@@ -62,10 +65,10 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     A column `selected` in docs is replaced, all others stay; an empty table gives an empty one, repeated rows repeat."""
     docs = docs.drop("selected")
-    ws, gs = fresh(docs, "words", "grams")
-    # One step a column, or the words would be found once for every use of them.
-    df = docs.withColumn(ws, words(F.col("text"))).withColumn(gs, grams(F.col(ws), k))
-    return df.withColumn("selected", select(F.col(gs), w)).drop(ws, gs)
+    hs, gs = fresh(docs, "hashes", "grams")
+    # One step a column, or the hashes would be taken once for every use of them.
+    df = docs.withColumn(hs, word_hashes(words(F.col("text")))).withColumn(gs, grams(F.col(hs), k))
+    return df.withColumn("selected", select(F.col(gs), w)).drop(hs, gs)
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> tuple[DataFrame, Window]:
