@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, fresh, trimmed
+from .base import cut, fresh, mix, trimmed
 from .sketches import Shingler, band_keys, joint_estimate, sketches
 
 LEAST = -(1 << 63)
@@ -49,8 +49,6 @@ def _identity(s) -> tuple[int, int]:
     """128 bits that equal sets share."""
     import numpy as np
 
-    from .base import mix
-
     a = np.array([mix(s).sum(dtype=np.uint64), mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
     return int(a[0]), int(a[1])
 
