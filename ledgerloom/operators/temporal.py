@@ -1,4 +1,4 @@
-"""Trailing count-window features: one exchange and one sort on the source serve every frame."""
+"""Trailing count-window features: one exchange and one sort on the source serve every frame. Hub sources are cut into blocks of rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from ..functions import entropy, purpose_sums
 from ..schema import BASE_FEATURES, WINDOWS
 
 ORDER = ("txn_time", "txn_id")
+#: At most so many hubs are split, so that their list may be broadcast; any other source has a share of 1 / MOST_HUBS of the rows at most.
+MOST_HUBS, MOST_CUTS = 4096, 1024
 
 
 def preprocess(df: DataFrame, lenient: bool = False) -> DataFrame:
@@ -26,13 +28,42 @@ def recent(df: DataFrame, time: str, start: str | Column, amount: str = "amount"
     return df.where(since(df, time, start) & (F.col(amount) > 0))
 
 
-def _frame(w: int):
-    return Window.partitionBy("source_id").orderBy(*ORDER).rowsBetween(-w, -1)
-
-
-def window_feature(base: str, w: int) -> Column:
+def _frame(w: int, keys: tuple[str, ...] = ("source_id",)):
+    return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(-w, -1)
+
+
+def split_hubs(df: DataFrame, longest: int, hub: int) -> DataFrame | None:
+    """df plus `_part` and `_lead`, the rows of sources above `hub` rows dealt by rank; None if there is no such source.
+
+    A part holds consecutive rows of one source, headed by the `longest` rows before it, marked `_lead`, so a trailing frame
+    never reaches past its part and lead rows are dropped after use. Ranks need no task that holds a source: approximate cuts
+    of time, common to all hubs, bound each (source, cut) by a share of the rows, and counts of those give where each begins.
+    Rows of one time stay in one cut. txn_id must be unique in a source, as for the windows themselves."""
+    counted = df.groupBy(F.col("source_id").alias("_hub")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub)
+    found = counted.orderBy(F.desc("_n"), "_hub").limit(MOST_HUBS).collect()
+    if not found:
+        return None
+    size = max(hub // 4, longest, 1)
+    hubs = F.broadcast(df.sparkSession.createDataFrame([(r["_hub"],) for r in found], counted.select("_hub").schema))
+    is_hub = F.col("source_id").eqNullSafe(F.col("_hub"))
+    hot, cold = df.join(hubs, is_hub, "left_semi"), df.join(hubs, is_hub, "left_anti")
+    k = min(MOST_CUTS, -(-sum(r["_n"] for r in found) // size))
+    cuts = hot.agg(F.percentile_approx("txn_time", [i / k for i in range(1, k)] or [0.5], max(10_000, 20 * k)).alias("_cuts"))
+    hot = hot.crossJoin(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter("_cuts", lambda c: c <= F.col("txn_time")))).drop("_cuts")
+    starts = hot.groupBy(F.col("source_id").alias("_hub"), F.col("_cut").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_hub").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_hub", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("source_id", "_cut").orderBy(*ORDER)) - 1
+    ranked = hot.withColumn("_place", place).join(starts, is_hub & (F.col("_cut") == F.col("_at"))).withColumn("_rank", F.col("_start") + F.col("_place"))
+    own = F.floor(F.col("_rank") / size)
+    dealt = F.when(F.col("_rank") % size >= size - longest, F.array(own, own + 1)).otherwise(F.array(own))
+    hot = ranked.withColumn("_own", own).withColumn("_part", F.explode(dealt)).withColumn("_lead", F.col("_part") > F.col("_own"))
+    return hot.select(*df.columns, "_part", "_lead").unionByName(cold.select(*df.columns, F.lit(0).cast("long").alias("_part"), F.lit(False).alias("_lead")))
+
+
+def window_feature(base: str, w: int, keys: tuple[str, ...] = ("source_id",)) -> Column:
     """One of the first eight features; an empty frame gives 0."""
-    f, amount = _frame(w), F.col("amount")
+    f, amount = _frame(w, keys), F.col("amount")
     n = F.count(F.lit(1)).over(f)
 
     def distinct(c: str) -> Column:
@@ -56,21 +87,30 @@ def domain(df: DataFrame, column: str = "purpose", most: int = 16) -> list | Non
     return sorted(v for v in found if v is not None) if len(found) <= most and None not in found else None
 
 
-def temporal_features(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str, ...] = BASE_FEATURES, purposes: list | None = None) -> DataFrame:
+def temporal_features(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str, ...] = BASE_FEATURES, purposes: list | None = None, hub: int | None = 1_000_000) -> DataFrame:
     """df plus `{base}_{w}` columns.
 
     Entropies are sums per purpose over the same frames where the set of purposes is small: `purposes` gives it, or it is read
-    off df. Beyond that they share one collected frame of the longest window, cut per w."""
-    plain = {f"{b}_{w}": window_feature(b, w) for b in bases if b != "TradingEntropyT" for w in windows}
+    off df. Beyond that they share one collected frame of the longest window, cut per w. Sources above `hub` rows are split,
+    which one count per source decides; None skips the count."""
+    names = [f"{b}_{w}" for b in [b for b in bases if b != "TradingEntropyT"] + [b for b in bases if b == "TradingEntropyT"] for w in windows]
+    known = (purposes or domain(df)) if "TradingEntropyT" in bases else None
+    if hub is not None and windows and (parts := split_hubs(df, max(windows), hub)) is not None:
+        return _features(parts, windows, bases, known, ("source_id", "_part")).where("not _lead").select(*df.columns, *names)
+    return _features(df, windows, bases, known, ("source_id",)).select(*df.columns, *names)
+
+
+def _features(df: DataFrame, windows: tuple[int, ...], bases: tuple[str, ...], known: list | None, keys: tuple[str, ...]) -> DataFrame:
+    plain = {f"{b}_{w}": window_feature(b, w, keys) for b in bases if b != "TradingEntropyT" for w in windows}
     if "TradingEntropyT" not in bases:
         return df.withColumns(plain)
-    if known := purposes or domain(df):
+    if known:
         own = df.columns
         for w in windows:
-            df = entropy_sums(df, w, known)
-        out = df.withColumns(plain | {f"_n{w}": F.count(F.lit(1)).over(_frame(w)) for w in windows})
+            df = entropy_sums(df, w, known, keys)
+        out = df.withColumns(plain | {f"_n{w}": F.count(F.lit(1)).over(_frame(w, keys)) for w in windows})
         return out.select(*own, *plain, *[entropy_from_sums(w, known).alias(f"TradingEntropyT_{w}") for w in windows])
-    items = F.collect_list(F.struct("purpose", "amount")).over(_frame(max(windows)))
+    items = F.collect_list(F.struct("purpose", "amount")).over(_frame(max(windows), keys))
     out = df.withColumns(plain | {"_items": items})
     return out.withColumns({f"TradingEntropyT_{w}": _entropy_change(w) for w in windows}).drop("_items")
 
@@ -89,9 +129,9 @@ def entropy_by_domain(df: DataFrame, w: int, purposes: list[str]) -> DataFrame:
     return df.select(*own, entropy_from_sums(w, purposes).alias(f"TradingEntropyT_{w}"))
 
 
-def entropy_sums(df: DataFrame, w: int, purposes: list[str]) -> DataFrame:
+def entropy_sums(df: DataFrame, w: int, purposes: list[str], keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """df plus `_s{w}_{i}`: the frame's amount under each purpose."""
-    f = _frame(w)
+    f = _frame(w, keys)
     return df.withColumns({f"_s{w}_{i}": F.coalesce(F.sum(F.when(F.col("purpose") == p, F.col("amount"))).over(f), F.lit(0.0)) for i, p in enumerate(purposes)})
 
 
@@ -114,4 +154,4 @@ def tensor(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str,
     return df.select("txn_id", "txn_time", F.array(*(planes * (3 if compat else 1))).alias("tensor"), F.col("status_int").alias("label"))
 
 
-__all__ = ["preprocess", "since", "recent", "domain", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]
+__all__ = ["preprocess", "since", "recent", "domain", "split_hubs", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]

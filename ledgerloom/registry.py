@@ -187,7 +187,7 @@ def _(s, d):
 
 @query("p10_feature_names", "SELECT unnest([" + ", ".join(f"'{b}_{w}'" for b in BASE_FEATURES for w in WINDOWS) + "]) AS feature, split_part(feature, '_', 1) AS base, CAST(split_part(feature, '_', 2) AS INT) AS w")
 def _(s, d):
-    names = [c for c in temporal.temporal_features(events_ledger(s, d), purposes=["-"]).columns if any(c.startswith(b) for b in BASE_FEATURES)]
+    names = [c for c in temporal.temporal_features(events_ledger(s, d), purposes=["-"], hub=None).columns if any(c.startswith(b) for b in BASE_FEATURES)]
     return s.createDataFrame([(c,) for c in names], "feature string").select("feature", F.split_part("feature", F.lit("_"), F.lit(1)).alias("base"), F.split_part("feature", F.lit("_"), F.lit(2)).cast("int").alias("w"))
 
 

@@ -91,6 +91,30 @@ def test_windows_against_brute_force(spark):
                 assert got[f"TradingEntropyT_{w}"] == pytest.approx(entropy(part) - entropy([*part, r]) if part else 0, abs=1e-9)
 
 
+@pytest.mark.parametrize("purposes", [None, ["x", "y", "z"]])
+def test_split_hubs_change_no_window(spark, purposes):
+    """Hubs of any kind: crowded times, a null source, times that are null."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice([0, 0, 1, rng.randint(0, 60)]), float(rng.randint(0, 9)), rng.choice(["A", "A", "B", "C", None]), rng.choice("ABCD"), rng.choice("xyz"), rng.randint(0, 1)) for i in range(300)]
+    rows += [(300 + i, i, 2.0, f"s{i}", "A", "x", 1) for i in range(8)]
+    df = ledger(spark, rows).selectExpr("txn_id", "if(txn_id % 17 = 0, null, txn_time) AS txn_time", "amount", "source_id", "destination_id", "purpose", "status_int")
+    if purposes is None:
+        df = df.withColumn("purpose", df.txn_id.cast("string"))
+    windows = (1, 5, 20)
+    parts = temporal.split_hubs(df, 20, 60)
+    dealt = parts.where("not _lead").groupBy("source_id", "_part").count().collect()
+    assert sum(r["count"] for r in dealt) == 308 and max(r["count"] for r in dealt if r["_part"] > 0) <= 20 and len(dealt) > 15
+    assert temporal.split_hubs(df, 20, 300) is None
+    whole = {r.txn_id: r.asDict() for r in temporal.temporal_features(df, windows, purposes=purposes, hub=None).collect()}
+    split = temporal.temporal_features(df, windows, purposes=purposes, hub=60)
+    assert split.columns == temporal.temporal_features(df, windows, purposes=purposes, hub=None).columns
+    split = split.collect()
+    assert len(split) == 308
+    for r in split:
+        for name, value in whole[r.txn_id].items():
+            assert r[name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
+
+
 def test_clustering_against_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, rng.randint(0, 30), 1.0, rng.choice("ABCDE"), rng.choice("ABCDE"), "x", 0) for i in range(60)]
