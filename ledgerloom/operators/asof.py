@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ("txn_time", "txn_id")
-
+from .temporal import running_sums
 
-def _before(*keys: str):
-    return Window.partitionBy(*keys).orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
+KEY = ("txn_time", "txn_id")
 
 
 def first_contact(df: DataFrame) -> DataFrame:
@@ -18,23 +16,22 @@ def first_contact(df: DataFrame) -> DataFrame:
     return df.withColumn("new_edge", (F.row_number().over(pair) == 1).cast("long"))
 
 
-def degree_features(df: DataFrame) -> DataFrame:
-    """C1-C4, C7-C9, C13 from two running windows."""
-    src, dst = _before("source_id"), _before("destination_id")
-    df = first_contact(df)
-    zero = F.lit(0).cast("long")
-    return df.withColumns({
-        "out_degree_source": F.coalesce(F.sum("new_edge").over(src), zero),
-        "weighted_out_degree_source": F.coalesce(F.sum("amount").over(src), F.lit(0.0)),
-        "avg_neighbor_amt_source": F.coalesce(F.avg("amount").over(src), F.lit(0.0)),
-    }).withColumns({
-        "in_degree_destination": F.coalesce(F.sum("new_edge").over(dst), zero),
-        "weighted_in_degree_destination": F.coalesce(F.sum("amount").over(dst), F.lit(0.0)),
-    }).withColumns({
-        "num_unique_neighbors_source": F.col("out_degree_source"),
-        "ratio_new_neighbors": F.col("new_edge"),
-        "edge_recurrence": 1 - F.col("new_edge"),
-    })
+def degree_features(df: DataFrame, hub: int | None = 1_000_000) -> DataFrame:
+    """C1-C4, C7-C9, C13 from two running windows; either end may be a hub."""
+    own = df.columns
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    df = running_sums(first_contact(df), "source_id", {"_new_out": F.col("new_edge"), "_out": F.col("amount"), "_n_out": F.when(F.col("amount").isNotNull(), one)}, hub)
+    df = running_sums(df, "destination_id", {"_new_in": F.col("new_edge"), "_in": F.col("amount")}, hub)
+    return df.select(
+        *own, "new_edge",
+        F.coalesce("_new_out", zero).alias("out_degree_source"),
+        F.coalesce("_out", F.lit(0.0)).alias("weighted_out_degree_source"),
+        F.coalesce(F.col("_out") / F.col("_n_out"), F.lit(0.0)).alias("avg_neighbor_amt_source"),
+        F.coalesce("_new_in", zero).alias("in_degree_destination"),
+        F.coalesce("_in", F.lit(0.0)).alias("weighted_in_degree_destination"),
+        F.coalesce("_new_out", zero).alias("num_unique_neighbors_source"),
+        F.col("new_edge").alias("ratio_new_neighbors"),
+        (1 - F.col("new_edge")).alias("edge_recurrence"))
 
 
 def node_events(df: DataFrame) -> DataFrame:
@@ -45,9 +42,9 @@ def node_events(df: DataFrame) -> DataFrame:
               named_struct('node', destination_id, 'is_src', false, 'is_dst', true, 'weight', 1L))))""")
 
 
-def participation(df: DataFrame) -> DataFrame:
-    """C5 and C6: prior transactions of either end in either role."""
-    events = node_events(df).withColumn("prior", F.coalesce(F.sum("weight").over(_before("node")), F.lit(0).cast("long")))
+def participation(df: DataFrame, hub: int | None = 1_000_000) -> DataFrame:
+    """C5 and C6: prior transactions of either end in either role; a node may be a hub."""
+    events = running_sums(node_events(df), "node", {"_prior": F.col("weight")}, hub).withColumn("prior", F.coalesce("_prior", F.lit(0).cast("long")))
     return events.groupBy("txn_id").agg(
         F.max(F.when(F.col("is_src"), F.col("prior"))).alias("total_txns_source"),
         F.max(F.when(F.col("is_dst"), F.col("prior"))).alias("total_txns_destination"))

@@ -32,33 +32,53 @@ def _frame(w: int, keys: tuple[str, ...] = ("source_id",)):
     return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(-w, -1)
 
 
-def split_hubs(df: DataFrame, longest: int, hub: int) -> DataFrame | None:
-    """df plus `_part` and `_lead`, the rows of sources above `hub` rows dealt by rank; None if there is no such source.
-
-    A part holds consecutive rows of one source, headed by the `longest` rows before it, marked `_lead`, so a trailing frame
-    never reaches past its part and lead rows are dropped after use. Ranks need no task that holds a source: approximate cuts
-    of time, common to all hubs, bound each (source, cut) by a share of the rows, and counts of those give where each begins.
-    Rows of one time stay in one cut. txn_id must be unique in a source, as for the windows themselves."""
-    counted = df.groupBy(F.col("source_id").alias("_hub")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub)
+def split_hubs(df: DataFrame, longest: int, hub: int, key: str = "source_id") -> DataFrame | None:
+    """df plus `_part`, `_lead` and `_split`, the rows of keys above `hub` rows dealt by rank; None if there is no such key.
+
+    A part holds consecutive rows of one key, headed by the `longest` rows before it, marked `_lead`, so a trailing frame
+    never reaches past its part and lead rows are dropped after use. Ranks need no task that holds a key: approximate cuts
+    of time, common to all hubs, bound each (key, cut) by a share of the rows, and counts of those give where each begins.
+    Rows of one time stay in one cut. txn_id must be unique under a key, as for the windows themselves. Rows of other keys
+    are not `_split`."""
+    counted = df.groupBy(F.col(key).alias("_hub")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub)
     found = counted.orderBy(F.desc("_n"), "_hub").limit(MOST_HUBS).collect()
     if not found:
         return None
     size = max(hub // 4, longest, 1)
     hubs = F.broadcast(df.sparkSession.createDataFrame([(r["_hub"],) for r in found], counted.select("_hub").schema))
-    is_hub = F.col("source_id").eqNullSafe(F.col("_hub"))
+    is_hub = F.col(key).eqNullSafe(F.col("_hub"))
     hot, cold = df.join(hubs, is_hub, "left_semi"), df.join(hubs, is_hub, "left_anti")
     k = min(MOST_CUTS, -(-sum(r["_n"] for r in found) // size))
     cuts = hot.agg(F.percentile_approx("txn_time", [i / k for i in range(1, k)] or [0.5], max(10_000, 20 * k)).alias("_cuts"))
     hot = hot.crossJoin(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter("_cuts", lambda c: c <= F.col("txn_time")))).drop("_cuts")
-    starts = hot.groupBy(F.col("source_id").alias("_hub"), F.col("_cut").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = hot.groupBy(F.col(key).alias("_hub"), F.col("_cut").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_hub").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_hub", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("source_id", "_cut").orderBy(*ORDER)) - 1
+    place = F.row_number().over(Window.partitionBy(key, "_cut").orderBy(*ORDER)) - 1
     ranked = hot.withColumn("_place", place).join(starts, is_hub & (F.col("_cut") == F.col("_at"))).withColumn("_rank", F.col("_start") + F.col("_place"))
     own = F.floor(F.col("_rank") / size)
     dealt = F.when(F.col("_rank") % size >= size - longest, F.array(own, own + 1)).otherwise(F.array(own))
     hot = ranked.withColumn("_own", own).withColumn("_part", F.explode(dealt)).withColumn("_lead", F.col("_part") > F.col("_own"))
-    return hot.select(*df.columns, "_part", "_lead").unionByName(cold.select(*df.columns, F.lit(0).cast("long").alias("_part"), F.lit(False).alias("_lead")))
+    return (hot.select(*df.columns, "_part", "_lead", F.lit(True).alias("_split"))
+            .unionByName(cold.select(*df.columns, F.lit(0).cast("long").alias("_part"), F.lit(False).alias("_lead"), F.lit(False).alias("_split"))))
+
+
+def running_sums(df: DataFrame, key: str, sums: dict[str, Column], hub: int | None = 1_000_000) -> DataFrame:
+    """df plus each sum over all rows before the current one under `key`, null where there is none.
+
+    Keys above `hub` rows are split: each part opens with one row that carries the sums of the parts before it, so no task
+    holds a hub and no join is needed."""
+    valued = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    parts = split_hubs(valued, 0, hub, key) if hub is not None else None
+    if parts is None:
+        before = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+        return valued.select(*df.columns, *[F.sum(f"_v_{n}").over(before).alias(n) for n in sums])
+    totals = parts.where("_split").groupBy(key, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    opening = totals.select(key, "_part", *[F.sum(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in sums], F.lit(0).alias("_row"))
+    rows = parts.withColumn("_row", F.lit(1)).unionByName(opening, allowMissingColumns=True)
+    before = Window.partitionBy(key, "_part").orderBy("_row", *ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*df.columns, "_row", *[F.sum(f"_v_{n}").over(before).alias(n) for n in sums]).where("_row = 1").drop("_row")
 
 
 def window_feature(base: str, w: int, keys: tuple[str, ...] = ("source_id",)) -> Column:
@@ -154,4 +174,4 @@ def tensor(df: DataFrame, windows: tuple[int, ...] = WINDOWS, bases: tuple[str,
     return df.select("txn_id", "txn_time", F.array(*(planes * (3 if compat else 1))).alias("tensor"), F.col("status_int").alias("label"))
 
 
-__all__ = ["preprocess", "since", "recent", "domain", "split_hubs", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]
+__all__ = ["preprocess", "since", "recent", "domain", "split_hubs", "running_sums", "temporal_features", "tensor", "entropy_by_domain", "purpose_sums"]

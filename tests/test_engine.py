@@ -115,6 +115,17 @@ def test_split_hubs_change_no_window(spark, purposes):
             assert r[name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
 
 
+def test_split_hubs_change_no_running_sum(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randint(0, 30), float(rng.randint(0, 9)), rng.choice(["A", "A", "B", None, "C"]), rng.choice("AABCD"), "x", 1) for i in range(200)]
+    df = ledger(spark, rows)
+    for f, key in ((asof.degree_features, "txn_id"), (asof.participation, "txn_id")):
+        whole, split = f(df, hub=None), f(df, hub=25)
+        assert whole.columns == split.columns
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+        assert split.select(key).distinct().count() == 200
+
+
 def test_clustering_against_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, rng.randint(0, 30), 1.0, rng.choice("ABCDE"), rng.choice("ABCDE"), "x", 0) for i in range(60)]
