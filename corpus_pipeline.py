@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("suffix_array", suffix_array), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: SQL can express no stage but mixing. tests/llm holds the operators of the stages against brute force, but no test calls run().
+#: SQL can express no stage but mixing. tests/llm/test_pipeline.py holds run() and its stages against brute force.
 ORACLE_SQL = None
 
 
