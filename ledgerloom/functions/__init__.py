@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Round half away from zero on the scaled double, as SQL engines do: `F.round` on the decimal text of a double settles ties such as 64.2028125 otherwise."""
+    x, scale = c.cast("double"), float(10**digits)
+    return F.when(F.abs(x) < 1e300 / scale, F.round(x * scale) / scale).otherwise(x)
+
+
 def r6(c: Column) -> Column:
     """Six decimals, never a negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    return rounded(c, 6) + F.lit(0.0)
 
 
 def r96(c: Column) -> Column:
     """Nine decimals, then six: for means of cents, whose ties must not hang on the order of a sum."""
-    return r6(F.round(c, 9))
+    return r6(rounded(c, 9))
 
 
 def draw(seed: int, *keys: Column) -> Column:

@@ -306,3 +306,18 @@ def test_sources_by_jdbc_and_statistics(spark, tmp_path):
     back = read_jdbc(spark, url, "gateway", column="id", bounds=("0", "50"), partitions=3)
     assert sorted(map(tuple, back.collect())) == rows and back.rdd.getNumPartitions() == 3
     assert "sizeInBytes" in table_statistics(df).first()[0]
+
+
+def test_tensor_rounds_ties_as_its_sql(spark, tmp_path):
+    """The mean of the first 32 amounts is 64.2028125, which floating-point scaling and decimal text round apart."""
+    import duckdb
+
+    start = datetime(2024, 1, 1)
+    amounts = [64.0] * 31 + [70.49, 10.0]
+    rows = [(i, start + timedelta(minutes=i), a, 1, f'{{"k": {i % 5}}}', "view") for i, a in enumerate(amounts)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, user_id long, props string, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = {i: (t, label) for i, t, label in con.execute(registry.SQL["u8_tensor"]).fetchall()}
+    got = {r.txn_id: (r.tensor, r.label) for r in registry.Q["u8_tensor"](spark, str(tmp_path)).collect()}
+    assert len(got) == 33 and got == want
