@@ -17,6 +17,8 @@ SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 28.47
 FLOOR = (0.15, 0.35, 0.26, 0.17)
 #: Concentration steps at most, and the change of a log determinant that ends them.
 STEPS, SETTLED = 12, 1e-4
+#: Quantiles are off by one rank in so many at most, exact for smaller groups: with coarser ones the steps of a large group never settle.
+RANKS = 10_000
 DIM = range(len(FLOOR))
 KEY = ("doc_id", "lang", "source")
 
@@ -85,12 +87,12 @@ def _granted(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column
     return {(i, j): c + FLOOR[i] ** 2 if i == j else c for (i, j), c in cov.items()}
 
 
-def _parameters(df: DataFrame, start: int | None, cov: dict[tuple[int, int], Column]) -> DataFrame:
-    """(grp, start, m*, l**, logdet) from df with m* and a covariance."""
+def _parameters(df: DataFrame, start: int | None, cov: dict[tuple[int, int], Column], *keep: str) -> DataFrame:
+    """(grp, start, m*, l**, logdet) and `keep` from df with m* and a covariance."""
     for level in _cholesky(cov):
         df = df.withColumns(dict(level))
     df = df if start is None else df.withColumn("start", F.lit(start))
-    return df.select("grp", "start", *PARAMETERS, sum((2 * F.ln(f"l{i}{i}") for i in DIM), F.lit(0.0)).alias("logdet"))
+    return df.select("grp", "start", *PARAMETERS, sum((2 * F.ln(f"l{i}{i}") for i in DIM), F.lit(0.0)).alias("logdet"), *keep)
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -111,29 +113,32 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step of every (grp, start): the SHARE of a group nearest by Mahalanobis distance gives the next estimate."""
-    near = distance(rows.join(small(params.drop("logdet")), "grp"))
-    limit = cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("limit")))
+    """One concentration step of every (grp, start): the SHARE of a group nearest by Mahalanobis distance gives the next estimate, with the log determinant before as `old`."""
+    near = distance(rows.join(small(params.withColumnRenamed("logdet", "old")), "grp"))
+    limit = cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, RANKS).alias("limit")))
     kept = near.join(small(limit), ["grp", "start"]).where("d2 <= limit")
     # Moments about the old centre, so that large means cost no digits.
     c = [F.col(f"x{i}") - F.col(f"m{i}") for i in DIM]
-    sums = kept.groupBy("grp", "start").agg(*[F.first(f"m{i}").alias(f"o{i}") for i in DIM], *_moments("p", c))
-    return _parameters(sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"pa{i}") for i in DIM}), None, _granted(_covariance("p", CONSISTENCY)))
+    sums = kept.groupBy("grp", "start").agg(F.first("old").alias("old"), *[F.first(f"m{i}").alias(f"o{i}") for i in DIM], *_moments("p", c))
+    return _parameters(sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"pa{i}") for i in DIM}), None, _granted(_covariance("p", CONSISTENCY)), "old")
 
 
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(grp, m*, l**): deterministic minimum-covariance-determinant estimates of rows(grp, x*).
 
-    From each of the three `starts`, concentration steps go on until no group's log determinant changes by more than SETTLED,
-    or `steps` are done; of the three ends of a group that of the least determinant counts, the first of equals. FLOOR squared
-    is added to every variance, so constant features stay regular. All statistics are mergeable aggregates, so a group may hold
-    any share of the rows."""
-    params = cut(starts(rows))
+    From each of the three `starts`, concentration steps go on until the log determinant changes by no more than SETTLED, or
+    `steps` are done; a group and start that has settled takes no further step. Of the three ends of a group that of the least
+    determinant counts, the first of equals. FLOOR squared is added to every variance, so constant features stay regular. All
+    statistics are mergeable aggregates, so a group may hold any share of the rows."""
+    moving, params = cut(starts(rows)), None
     for _ in range(steps):
-        old = params.select("grp", "start", F.col("logdet").alias("old"))
-        params = cut(concentrate(rows, params))
-        if params.join(small(old), ["grp", "start"]).where(F.abs(F.col("logdet") - F.col("old")) > SETTLED).isEmpty():
+        stepped = cut(concentrate(rows, moving))
+        moves = F.abs(F.col("logdet") - F.col("old")) > SETTLED
+        ended, moving = stepped.where(~moves).drop("old"), stepped.where(moves).drop("old")
+        params = ended if params is None else params.unionByName(ended)
+        if moving.isEmpty():
             break
+    params = moving if params is None else params.unionByName(moving)
     best = params.groupBy("grp").agg(F.min(F.struct(F.round("logdet", 9).alias("d"), "start", *PARAMETERS)).alias("b"))
     return cut(best.select("grp", *[F.col(f"b.{p}").alias(p) for p in PARAMETERS]))
 

@@ -246,6 +246,19 @@ def test_quality_rejects_repetition_as_a_plain_determinant_does(spark):
     assert all(out[i][1] for i, *_ in rows) and not any(out[i][1] for i, *_ in lines + passage)
 
 
+def test_quality_steps_leave_settled_groups(spark, monkeypatch):
+    rng, seen, step = random.Random(2), [], quality.concentrate
+    rows = [("same", 1.0, 0.0, 0.0, 0.0)] * 200 + [("far", rng.gauss(0, 1), rng.gauss(0, 2), rng.expovariate(1), rng.expovariate(3)) for _ in range(300)]
+
+    def recorded(rows, params):
+        seen.append({r.grp for r in params.select("grp").collect()})
+        return step(rows, params)
+
+    monkeypatch.setattr(quality, "concentrate", recorded)
+    out = {r.grp for r in quality.estimate(spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")).collect()}
+    assert out == {"same", "far"} and seen[0] == out and len(seen) > 1 and all(s == {"far"} for s in seen[1:])
+
+
 def brute_fingerprint(text, k=4, w=8):
     """(place, hash) of the chosen grams, by rolling from gram to gram."""
     import xxhash
